@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, urlfilter, warc
+from . import chat, fingerprints, minhash, mixing, urlfilter, warc
 from .common import table
 
 
@@ -28,6 +28,14 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, urlfilter.mine(known)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -40,7 +48,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
-QUERIES = {"op2_warc": op2_warc, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op8_chat": op8_chat}
+QUERIES = {"op2_warc": op2_warc, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op6_minhash": op6_minhash, "op8_chat": op8_chat,
+           "op10_fingerprints": op10_fingerprints}
 
 
 def _mixing_sql() -> str:
