@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, minhash, mixing, urlfilter, warc
+from . import chat, fingerprints, langid, minhash, mixing, urlfilter, warc
 from .common import table
 
 
@@ -32,6 +32,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
@@ -48,7 +54,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
-QUERIES = {"op2_warc": op2_warc, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op6_minhash": op6_minhash, "op8_chat": op8_chat,
+QUERIES = {"op2_warc": op2_warc, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op6_minhash": op6_minhash, "op7_language_id": op7_language_id, "op8_chat": op8_chat,
            "op10_fingerprints": op10_fingerprints}
 
 
