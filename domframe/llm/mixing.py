@@ -55,13 +55,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), ceiling: int = 3, s
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
     sized = docs.select(*keep, F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                         digest_number(F.lit(f"{seed}:"), part("doc_id"), F.when(F.col("doc_id").isNull(), F.md5(part("text"))).otherwise("")).alias("_draw"))
-    stats = cut(source_targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, ceiling))
+    stats = cut(source_targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, ceiling).withColumnRenamed("source", "_name"))
+    same = F.col("_source").eqNullSafe(F.col("_name"))
     if stats.count() <= BROADCAST_SOURCES:
-        joined = sized.join(F.broadcast(stats), F.col("_source").eqNullSafe(stats.source))
+        joined = sized.join(F.broadcast(stats), same)
     else:
         dealt = sized.withColumn("_salt", F.pmod(F.hash("_draw"), F.lit(SALTS)))
         spread = stats.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = dealt.join(spread, F.col("_source").eqNullSafe(spread.source) & (F.col("_salt") == spread._part))
+        joined = dealt.join(spread, same & (F.col("_salt") == F.col("_part")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return joined.withColumn("rate", rate).select(
         *keep, "size", "source_size", "target", "rate",
