@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, minhash, mixing, pieces, urlfilter, warc
+from . import chat, extraction, fingerprints, langid, minhash, mixing, pieces, urlfilter, warc
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.fresh_folder(spark)
     warc.write_warc(table(spark, sf_dir, "pages"), folder)
@@ -61,7 +65,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
-QUERIES = {"op2_warc": op2_warc, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op6_minhash": op6_minhash, "op7_language_id": op7_language_id, "op8_chat": op8_chat, "op9_sentencepiece": op9_sentencepiece,
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_warc": op2_warc, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op6_minhash": op6_minhash, "op7_language_id": op7_language_id, "op8_chat": op8_chat, "op9_sentencepiece": op9_sentencepiece,
            "op10_fingerprints": op10_fingerprints}
 
 
