@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extraction, fingerprints, langid, minhash, mixing, pieces, urlfilter, warc
+from . import chat, extraction, fingerprints, langid, minhash, mixing, pieces, urlfilter, vectors, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("type") == "revisit", F.col("told")).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), F.expr("try_cast(refers AS BIGINT)").alias("refers_to"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -65,7 +69,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_warc": op2_warc, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op6_minhash": op6_minhash, "op7_language_id": op7_language_id, "op8_chat": op8_chat, "op9_sentencepiece": op9_sentencepiece,
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_warc": op2_warc, "op3_embeddings": op3_embeddings, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op6_minhash": op6_minhash, "op7_language_id": op7_language_id, "op8_chat": op8_chat, "op9_sentencepiece": op9_sentencepiece,
            "op10_fingerprints": op10_fingerprints}
 
 
