@@ -22,29 +22,40 @@ from .words import U, mix, seeds, shingle_hashes, word_hashes
 NEIGHBOURS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _attempts(bins: int, rounds: int, start: int = 0) -> np.ndarray:
-    """Where each empty bin looks in each round."""
-    z = mix(np.arange(bins, dtype=U)[None, :] * U(0x9E3779B97F4A7C15) + seeds(start + rounds, 11)[start:, None])
-    return (((z >> U(32)) * U(bins)) >> U(32)).astype(np.int32)
+#: Rounds of attempts that a worker keeps; later ones, which a text of one shingle can need, are made anew.
+KEPT_ROUNDS = 8192
+_TABLE: dict[int, np.ndarray] = {}
+
+
+def _attempts(bins: int, start: int, stop: int) -> np.ndarray:
+    """Where each empty bin looks in the rounds from start to stop."""
+    if stop <= KEPT_ROUNDS:
+        if bins not in _TABLE:
+            _TABLE[bins] = _look(bins, 0, KEPT_ROUNDS)
+        return _TABLE[bins][start:stop]
+    return _look(bins, start, stop)
 
 
-_TABLE: dict[int, list[np.ndarray]] = {}
+def _look(bins: int, start: int, stop: int) -> np.ndarray:
+    z = mix(np.arange(bins, dtype=U)[None, :] * U(0x9E3779B97F4A7C15) + seeds(stop, 11)[start:, None])
+    return (((z >> U(32)) * U(bins)) >> U(32)).astype(np.int32)
 
 
 def densify(values: np.ndarray) -> np.ndarray:
-    """values with every empty bin (all ones) filled from the bin its attempts find; at least one bin is filled."""
-    bins = len(values)
+    """values with every empty bin (all ones) filled from the bin its attempts find; at least one bin is filled.
+
+    Each span of rounds is four times as long as the one before and looks at the bins still empty.
+    """
     filled = values != ~U(0)
-    empty, out = np.flatnonzero(~filled), values.copy()
-    tables = _TABLE.setdefault(bins, [_attempts(bins, 32), _attempts(bins, 480, 32)])
-    start = 0
+    empty, out, start, stop = np.flatnonzero(~filled), values.copy(), 0, 8
     while len(empty):
-        table = tables[0] if start == 0 else tables[1] if start == 32 else _attempts(bins, 512, start)
-        hit = filled[table[:, empty]]
-        found = hit.any(axis=0)
-        source = table[hit.argmax(axis=0)[found], empty[found]]
-        out[empty[found]] = values[source]
-        empty, start = empty[~found], start + len(table)
+        looked = _attempts(len(values), start, stop)[:, empty]
+        hit = filled[looked]
+        first = hit.argmax(axis=0)
+        every = np.arange(len(empty))
+        found = hit[first, every]
+        out[empty[found]] = values[looked[first[found], every[found]]]
+        empty, start, stop = empty[~found], stop, 4 * stop
     return out
 
 
