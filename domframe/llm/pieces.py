@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType
@@ -135,13 +136,8 @@ class Encoder:
         return [b"".join(map(kept.__getitem__, words)) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that aren't UTF-8 become U+FFFD, ids out of range are unknown."""
-        n, surface = len(self.surface), self.surface
-        try:
-            data = b"".join(map(surface.__getitem__, ids))
-        except IndexError:
-            data = b"".join(surface[i] if 0 <= i < n else surface[self.unknown] for i in ids)
-        return data.decode("utf-8", "replace").removeprefix(" ")
+        """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
+        return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 _MADE: dict[int, Encoder] = {}
@@ -183,9 +179,11 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
 
 
 def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """docs with the text that ids stand for; null ids have an empty one."""
+    """docs with the text that ids stand for; null ids have an empty one, and ids out of range are unknown pieces."""
     def work(coder: Encoder, column: pa.Array) -> pa.Array:
-        # One row at a time, so that only one text's numbers are Python objects.
-        return pa.array([coder.decode(x.values.to_pylist()) if x.is_valid else "" for x in column], pa.string())
+        # One row at a time, so that only one text's numbers are Python objects; a null row has no stretch of its own.
+        values, ends, there = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist(), column.is_valid().to_pylist()
+        values = np.where((values >= 0) & (values < len(coder.surface)), values, coder.unknown)
+        return pa.array([coder.decode(values[a:b].tolist()) if here else "" for a, b, here in zip(ends, ends[1:], there, strict=False)], pa.string())
 
     return _batches(docs, model, ids, text, StringType(), work)
