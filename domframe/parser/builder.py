@@ -215,10 +215,7 @@ class Builder:
         """An element whose text the tokenizer reads on its own."""
         self._element(token[1], token[2])
         self.tokens.switch(token[1], token[3], False)
-        if self.tokens.state != DATA:
-            self.back, self.mode = self.mode if self.mode != "text" else self.back, "text"
-        else:  # a self-closing one: its content follows as ordinary markup
-            self.back, self.mode = self.mode, "text"
+        self.back, self.mode = self.mode, "text"
 
     # -- scopes and ends ------------------------------------------------------------------------------------------
 
@@ -595,14 +592,11 @@ class Builder:
         if t[0] == "chars":
             self._text(t[1])
             return None
-        if t[0] == "end":
+        # After a self-closing raw element its content comes as markup, of which only text counts.
+        if t[0] == "end" and self.open[-1].tag == t[1]:
             self.open.pop()
             self.mode = self.back
-            return None
-        # Only after a self-closing raw element, whose content is markup.
-        self.open.pop()
-        self.mode = self.back
-        return True
+        return None
 
     def in_body(self, t):
         kind = t[0]
@@ -814,6 +808,8 @@ class Builder:
             self._reconstruct()
             self._element("br", {}, keep=False)
             self.frameset_ok = False
+        elif name in ("svg", "math") and (root := next((n for n in reversed(self.open) if n.ns == name and n.tag in ("svg", "math")), None)):
+            del self.open[self._place_of(self.open, root):]  # through whatever is open inside
         else:
             self._any_end(name)
         return None
