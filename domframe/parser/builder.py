@@ -68,13 +68,57 @@ class Node:
         return self.ns is None and self.tag in tags
 
 
+class Stack(list):
+    """The open elements, which knows how many there are of each tag, so that deep nesting costs no search."""
+
+    def __init__(self):
+        super().__init__()
+        self.tags: dict[str, int] = {}
+        self.ids: set[int] = set()
+
+    def _add(self, node: Node) -> None:
+        self.tags[node.tag] = self.tags.get(node.tag, 0) + 1
+        self.ids.add(id(node))
+
+    def _drop(self, node: Node) -> None:
+        self.tags[node.tag] -= 1
+        self.ids.discard(id(node))
+
+    def append(self, node: Node) -> None:
+        self._add(node)
+        super().append(node)
+
+    def insert(self, at: int, node: Node) -> None:
+        self._add(node)
+        super().insert(at, node)
+
+    def pop(self) -> Node:
+        node = super().pop()
+        self._drop(node)
+        return node
+
+    def __delitem__(self, at) -> None:
+        for node in self[at] if isinstance(at, slice) else (self[at],):
+            self._drop(node)
+        super().__delitem__(at)
+
+    def __setitem__(self, at: int, node: Node) -> None:
+        self._drop(self[at])
+        self._add(node)
+        super().__setitem__(at, node)
+
+    def has(self, tag: str) -> bool:
+        """Whether an HTML element with that tag is open."""
+        return bool(self.tags.get(tag)) and any(n.is_html(tag) for n in self)
+
+
 def blank(text: str) -> bool:
     return not text.strip(BLANKS)
 
 
 class Builder:
     def __init__(self, html: str, context: str | None = None):
-        self.doc, self.open, self.active = Node("document"), [], []
+        self.doc, self.open, self.active = Node("document"), Stack(), []
         self.head = self.form = None
         self.frameset_ok, self.fostering, self.quirks, self.skip_newline = True, False, False, False
         self.mode, self.back, self.template_modes, self.table_text = "initial", "in_body", [], []
@@ -220,6 +264,8 @@ class Builder:
     # -- scopes and ends ------------------------------------------------------------------------------------------
 
     def _in_scope(self, tags, extra=frozenset(), only=None) -> bool:
+        if not any(self.open.tags.get(t) for t in tags):
+            return False
         for node in reversed(self.open):
             if node.ns is None:
                 if node.tag in tags:
@@ -240,7 +286,7 @@ class Builder:
         return self._in_scope(tags, only=frozenset(("html", "table", "template")))
 
     def _select_scope(self) -> bool:
-        return any(n.is_html("select") for n in self.open)
+        return self.open.has("select")
 
     def _imply(self, but: str | None = None, tags=IMPLIED_ENDS) -> None:
         while self.open and self.open[-1].ns is None and self.open[-1].tag in tags and self.open[-1].tag != but:
@@ -281,7 +327,7 @@ class Builder:
             pass
 
     def _is_open(self, node: Node) -> bool:
-        return any(n is node for n in self.open)
+        return id(node) in self.open.ids
 
     def _place_of(self, where: list, node: Node) -> int:
         return next((k for k in range(len(where) - 1, -1, -1) if where[k] is node), -1)
@@ -537,7 +583,7 @@ class Builder:
         return True
 
     def _end_template(self) -> None:
-        if any(n.is_html("template") for n in self.open):
+        if self.open.has("template"):
             self._imply(tags=THOROUGH_ENDS)
             self._pop_to("template")
             self._to_marker()
@@ -620,12 +666,12 @@ class Builder:
     def _body_start(self, t):
         _, name, attrs, closing = t
         if name == "html":
-            if not any(n.is_html("template") for n in self.open):
+            if not self.open.has("template"):
                 self._merge(self.open[0], attrs)
         elif name in HEAD_TAGS:
             return self.in_head(t)
         elif name == "body":
-            if len(self.open) > 1 and self.open[1].is_html("body") and not any(n.is_html("template") for n in self.open):
+            if len(self.open) > 1 and self.open[1].is_html("body") and not self.open.has("template"):
                 self.frameset_ok = False
                 self._merge(self.open[1], attrs)
         elif name == "frameset":
@@ -647,7 +693,7 @@ class Builder:
             self._element(name, attrs)
             self.skip_newline, self.frameset_ok = True, False
         elif name == "form":
-            template = any(n.is_html("template") for n in self.open)
+            template = self.open.has("template")
             if self.form is None or template:
                 self._close_p()
                 form = self._element(name, attrs)
@@ -772,7 +818,7 @@ class Builder:
                 self._imply()
                 self._pop_to(name)
         elif name == "form":
-            if any(n.is_html("template") for n in self.open):
+            if self.open.has("template"):
                 if self._scope("form"):
                     self._imply()
                     self._pop_to("form")
@@ -863,7 +909,7 @@ class Builder:
                 self._element(name, t[2], keep=False)
                 return None
             if name == "form":
-                if self.form is None and not any(n.is_html("template") for n in self.open):
+                if self.form is None and not self.open.has("template"):
                     self.form = self._element(name, t[2], keep=False)
                 return None
         else:
