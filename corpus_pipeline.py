@@ -49,7 +49,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, a hash of the ids, and whether decoding them gives the text back."""
-    done = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text")))
+    done = pieces.encode_and_decode(docs.select("doc_id", "source", "text"))
     return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxh64"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -151,39 +151,51 @@ def encoder(model: bytes) -> Encoder:
     return _MADE[key]
 
 
-def _batches(docs: DataFrame, model: str, source: str, added: str, kind: DataType, work) -> DataFrame:
+def _encoded(coder: Encoder, column: pa.Array) -> pa.Array:
+    rows = coder.encode([x or "" for x in column.to_pylist()])
+    offsets = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _decoded(coder: Encoder, column: pa.Array) -> pa.Array:
+    # One row at a time, so that only one text's numbers are Python objects; a null row has no stretch of its own.
+    values, ends, there = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist(), column.is_valid().to_pylist()
+    values = np.where((values >= 0) & (values < len(coder.surface)), values, coder.unknown)
+    return pa.array([coder.decode(values[a:b].tolist()) if here else "" for a, b, here in zip(ends, ends[1:], there, strict=False)], pa.string())
+
+
+def _run(docs: DataFrame, model: str, *steps: tuple) -> DataFrame:
+    """docs with a column for each of the steps (source, added, type, work), all in one pass over the rows."""
     with open(model, "rb") as f:  # the driver's file; the workers get its bytes
         held = docs.sparkSession.sparkContext.broadcast(f.read())
-    columns = [c for c in docs.columns if c != added]
+    columns = [c for c in docs.columns if c not in {added for _, added, _, _ in steps}]
+    schema = docs.select(*columns).schema
+    for _, added, kind, _ in steps:
+        schema = schema.add(added, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), work(encoder(held.value), part.column(source))], names=[*columns, added])
+                made = {c: part.column(c) for c in columns}
+                for source, added, _, work in steps:
+                    made[added] = work(encoder(held.value), made[source])
+                yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
-    return docs.select(*columns).mapInArrow(run, docs.select(*columns).schema.add(added, kind))
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with ids, the pieces of each whole text; a null text has none, like an empty one.  No beginning or end mark is added."""
-    def work(coder: Encoder, column: pa.Array) -> pa.Array:
-        rows = coder.encode([x or "" for x in column.to_pylist()])
-        offsets = [0]
-        for r in rows:
-            offsets.append(offsets[-1] + len(r) // 4)
-        values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(rows))])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-
-    return _batches(docs, model, text, ids, ArrayType(IntegerType()), work)
+    return _run(docs, model, (text, ids, ArrayType(IntegerType()), _encoded))
 
 
 def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the text that ids stand for; null ids have an empty one, and ids out of range are unknown pieces."""
-    def work(coder: Encoder, column: pa.Array) -> pa.Array:
-        # One row at a time, so that only one text's numbers are Python objects; a null row has no stretch of its own.
-        values, ends, there = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist(), column.is_valid().to_pylist()
-        values = np.where((values >= 0) & (values < len(coder.surface)), values, coder.unknown)
-        return pa.array([coder.decode(values[a:b].tolist()) if here else "" for a, b, here in zip(ends, ends[1:], there, strict=False)], pa.string())
+    return _run(docs, model, (ids, text, StringType(), _decoded))
+
 
-    return _batches(docs, model, ids, text, StringType(), work)
+def encode_and_decode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """What decode makes of what encode makes of docs, in one pass: the ids don't leave the worker in between."""
+    return _run(docs, model, (text, ids, ArrayType(IntegerType()), _encoded), (ids, decoded, StringType(), _decoded))

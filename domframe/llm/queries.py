@@ -48,7 +48,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_tokens, a hash of the ids, that of the text decoded from them, and whether it is the text."""
-    done = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    done = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxh64"), F.sha2("decoded", 256).alias("decoded_sha256"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
