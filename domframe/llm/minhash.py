@@ -23,6 +23,8 @@ from .words import U, distinct, mix, seeds, shingles_of
 BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 2_000_000
 #: Up to so many members of candidate groups their ids are broadcast (about 50 MB); beyond, texts are joined by shuffle.
 BROADCAST_MEMBERS = 1_000_000
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 256
 SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
@@ -59,7 +61,7 @@ def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
 
 def _sketcher(k: int, t: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[tuple] = []
             for hashes in shingles_of(texts, k):
@@ -131,7 +133,7 @@ def _verifier(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, texts, out = None, [], [], []
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             for now, node, text in zip(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if now != key:
                     out += stars(ids, texts)
