@@ -1,7 +1,9 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Tokens are counted per source, the source's target gives a repetition rate, and every document is taken
-floor(rate) times plus once more if a number seeded by its id falls below the fraction of the rate.
+floor(rate) times plus once more if a number seeded by its id falls below a threshold.  The threshold is the
+fraction of the rate, moved to the place in the order of these numbers where the words taken come closest to the
+target: few long documents can hold much of a source, and with the bare fraction their luck would decide.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from .common import WORD, cut, digest_number
 
 #: Up to so many sources their table of a few numbers each is broadcast (about 20 MB); beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 200_000
+#: Steps on which thresholds lie.
+STEPS = 4096
 #: Parts into which the documents of one source are dealt when the table of sources is not broadcast.
 SALTS = 64
 
@@ -55,7 +59,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), ceiling: int = 3, s
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
     sized = docs.select(*keep, F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                         digest_number(F.lit(f"{seed}:"), part("doc_id"), F.when(F.col("doc_id").isNull(), F.md5(part("text"))).otherwise("")).alias("_draw"))
-    stats = cut(source_targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, ceiling).withColumnRenamed("source", "_name"))
+    # A row for each step that has documents: at most STEPS for a source, and one for a document.
+    steps = cut(sized.groupBy(F.col("_source").alias("source"), F.floor(F.col("_draw") * STEPS).cast("int").alias("step")).agg(F.sum("size").alias("words")))
+    stats = cut(thresholds(steps, weights, ceiling).withColumnRenamed("source", "_name"))
     same = F.col("_source").eqNullSafe(F.col("_name"))
     if stats.count() <= BROADCAST_SOURCES:
         joined = sized.join(F.broadcast(stats), same)
@@ -63,10 +69,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), ceiling: int = 3, s
         dealt = sized.withColumn("_salt", F.pmod(F.hash("_draw"), F.lit(SALTS)))
         spread = stats.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = dealt.join(spread, same & (F.col("_salt") == F.col("_part")))
+    return joined.select(*keep, "size", "source_size", "target", "rate", (F.floor("rate") + (F.col("_draw") < F.col("threshold")).cast("long")).alias("copies"))
+
+
+def thresholds(steps: DataFrame, weights: Sequence[int], ceiling: int) -> DataFrame:
+    """source, source_size, target, rate and threshold from the words on each step of a source's draws (source, step, words).
+
+    Of the places between steps, the beginning included, the first is taken at which the words of the draws below it
+    come closest to what the target asks for beyond floor(rate) times the source.
+    """
+    targets = source_targets(steps.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ceiling)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return joined.withColumn("rate", rate).select(
-        *keep, "size", "source_size", "target", "rate",
-        (F.floor("rate") + (F.col("_draw") < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
+    rated = targets.withColumn("rate", rate).withColumn("extra", F.col("target") - F.floor("rate") * F.col("source_size")).withColumnRenamed("source", "_s")
+    upto = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    places = steps.select("source", (F.col("step") + 1).alias("place"), F.sum("words").over(upto).alias("below"))
+    begin = steps.select("source").distinct().select("source", F.lit(0).alias("place"), F.lit(0).cast("long").alias("below"))
+    off = F.abs(F.col("below") - F.col("extra"))
+    asked = places.unionByName(begin).join(rated, F.col("source").eqNullSafe(F.col("_s"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "place")).alias("best"), *(F.first(c).alias(c) for c in ("source_size", "target", "rate")))
+    return asked.select("source", "source_size", "target", "rate", (F.col("best.place") / F.lit(float(STEPS))).alias("threshold"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
