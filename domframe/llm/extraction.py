@@ -33,6 +33,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: An opening tag ends an open one of these, up to the nearest of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, {"html"})}
+#: Parts of running text; without class, id or role they are no branches of their own, and inline elements never are.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre tr td th tbody thead tfoot caption figcaption hgroup html body br hr".split())
 NOISE_TAGS = frozenset("head nav footer aside form button select dialog menu noscript template audio video canvas datalist".split()) | RAW
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay
@@ -40,6 +42,7 @@ newsletter subscribe subscription social share sharing nav navbar navigation men
 comment comments commentlist reply replies respond disqus footer foot masthead pagination pager login signup search toolbar skip header topbar""".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTR = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+CUT = re.compile(r"<[a-zA-Z/!?]")
 HIDDEN = re.compile(r"(?i)(?<![\w-])hidden(?![\w-])")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _IDS: dict[str, int] = {}
@@ -59,7 +62,7 @@ class Page:
     """Elements in page order with parent, tag and path, and runs of text (element, text); (-1, " ") ends a block."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.noise, self.main, self.runs = [-1], [""], [0], [False], [0], []
+        self.parent, self.tag, self.path, self.noise, self.main, self.plain, self.runs = [-1], [""], [0], [False], [0], [True], []
         stack, at, here = [0], 0, 0
         runs, tags = self.runs, self.tag
         text = lambda a, b: b > a and runs.append((stack[-1], html[a:b]))
@@ -93,9 +96,8 @@ class Page:
                 text(at, found.start() if found else len(html))
                 here = at = found.end() if found else len(html)
                 stack.pop()
-        text(at, len(html))
-        if html.startswith("<", at) and re.match(r"<[!/?a-zA-Z]", html[at:at + 2]) and runs and runs[-1][1] == html[at:]:
-            runs.pop()  # a tag that the page's end cuts off
+        cut = CUT.search(html, at)  # a tag that the page's end cuts off is no text
+        text(at, cut.start() if cut else len(html))
 
     def _end(self, stack: list[int], what: Collection[str], until: Collection[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -121,6 +123,7 @@ class Page:
         shape = re.sub(r"[0-9]+", "#", label.strip())
         self.path.append(_number(f"{self.path[stack[-1]]}>{name}|{role}|{shape}"))
         self.noise.append(noise and name not in ("html", "body"))
+        self.plain.append(name in INLINE or name in PLAIN and not (label.strip() or role))
         stack.append(len(self.tag) - 1)
 
     def kept(self, low: Collection[int] = ()) -> list[bool]:
@@ -135,7 +138,7 @@ class Page:
             up = self.parent[k]
             article[k] = k if self.main[k] and not self.noise[k] else article[up]
             gone = self.noise[k] and not holds[k]
-            if not gone and self.path[k] in low and not holds[k] and article[k] != k and self.tag[k] not in ("html", "body"):
+            if not gone and not self.plain[k] and self.path[k] in low and not holds[k] and article[k] != k and self.tag[k] not in ("html", "body"):
                 gone = article[k] < 0 or self.path[article[k]] not in low
             stay[k] = stay[up] and not gone
             inside[k] = max(inside[up], self.main[k] if not self.noise[k] else 0) if stay[k] else 0
@@ -160,7 +163,7 @@ class Page:
         for k, t in self.runs:
             if k > 0 and (t := t.strip()):
                 while k > 0:
-                    if not self.noise[k]:
+                    if not (self.noise[k] or self.plain[k]):
                         words.setdefault(self.path[k], []).append(t)
                     k = self.parent[k]
         digest = lambda x: int.from_bytes(hashlib.blake2b(" ".join(x).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
