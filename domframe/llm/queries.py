@@ -84,8 +84,11 @@ o AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS total_w, co
 f AS (SELECT *, cap * (total_w - w_before) < w * (total - cap_before) AS is_full FROM o),
 l AS (SELECT *, (total - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) AS left_size, (total_w - coalesce(sum(w) FILTER (is_full) OVER (), 0)) AS left_w FROM f),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE) WHEN left_w > 0 THEN least(CAST(cap AS DOUBLE), CAST(w AS DOUBLE) * (CAST(left_size AS DOUBLE) / CAST(left_w AS DOUBLE))) ELSE 0.0 END AS target FROM l),
-j AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, size * (CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM j"""
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t),
+b AS (SELECT source, CAST(floor(draw * 4096) AS INTEGER) AS step, sum(size) AS words FROM d GROUP BY ALL),
+q AS (SELECT source, step + 1 AS place, sum(words) OVER (PARTITION BY source ORDER BY step) AS below FROM b UNION ALL SELECT DISTINCT source, 0, 0 FROM b),
+h AS (SELECT r.*, arg_min(place, (abs(CAST(below AS DOUBLE) - (target - floor(rate) * source_size)), place)) OVER (PARTITION BY r.source) / 4096.0 AS threshold, row_number() OVER (PARTITION BY r.source) AS k FROM q JOIN r ON q.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, size * (CAST(floor(rate) AS BIGINT) + CASE WHEN draw < threshold THEN 1 ELSE 0 END) AS taken FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source AND h.k = 1"""
 
 
 def _warc_sql() -> str:
@@ -115,8 +118,41 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
 FROM o GROUP BY conv_id"""
 
 
+def _extraction_sql() -> str:
+    """The generated pages mark their article and have only h1, p, b and br in it."""
+    bare = "regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        bare = f"replace({bare}, '&{name};', '{char}')"
+    return f"SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT page_id, url, trim(regexp_replace({bare}, '[\t\n\x0B\f\r ]+', ' ', 'g')) AS text FROM pages)"
+
+
+def _components_sql(nodes: str, key: str) -> str:
+    """Further parts of a WITH RECURSIVE that has links (a, b) both ways: comp (id, component), the least id within reach."""
+    return f"reach(id, seen) AS (SELECT {key}, {key} FROM {nodes} UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.seen), comp AS (SELECT id, min(seen) AS component FROM reach GROUP BY id)"
+
+
+def _embeddings_sql() -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.98),
+{_components_sql("embeddings", "vec_id")}
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component AS component_id, component = vec_id AS kept FROM embeddings JOIN comp ON id = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id"""
+
+
+def _minhash_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+{_components_sql("documents", "doc_id")}
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component AS component_id, component = d.doc_id AS kept FROM documents d JOIN comp ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
 def re_escape(text: str) -> str:
     return "".join(f"\\{c}" if c in "[]|/<>" and c not in "/<>" else c for c in text)
 
 
-ORACLES = {"op2_warc": _warc_sql(), "op4_mixing": _mixing_sql(), "op8_chat": _chat_sql()}
+ORACLES = {"op1_html_extraction": _extraction_sql(), "op3_embeddings": _embeddings_sql(), "op6_minhash": _minhash_sql(), "op2_warc": _warc_sql(), "op4_mixing": _mixing_sql(), "op8_chat": _chat_sql()}
