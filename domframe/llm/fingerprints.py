@@ -9,6 +9,7 @@ chance makes equal.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .words import U, mix, seeds, shingle_hashes, word_hashes
 
+#: Pieces of the order for each shuffle partition, so that hashing deals them out evenly, and in all.
+PER_PARTITION, PIECES = 4, 100_000
 NEIGHBOURS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -62,6 +65,7 @@ def densify(values: np.ndarray) -> np.ndarray:
 def low_bits(texts: list[str | None], words: int, bins: int, bits: int) -> list[np.ndarray | None]:
     """For each text the low bits of its bins; None for one without words."""
     out: list[np.ndarray | None] = []
+    own = np.arange(bins, dtype=U) * U(0xD6E8FEB86659FD93)
     for _, _, hashes, counts in word_hashes(texts):
         shingles = shingle_hashes(hashes, counts, words)
         sizes = [len(s) for s in shingles]
@@ -70,7 +74,8 @@ def low_bits(texts: list[str | None], words: int, bins: int, bits: int) -> list[
         least = np.full(len(sizes) * bins, ~U(0), U)
         np.minimum.at(least, flat, mix(every) >> U(1))
         for k, size in enumerate(sizes):
-            out.append((densify(least[k * bins:(k + 1) * bins]) & U((1 << bits) - 1)).astype(np.uint8) if size else None)
+            # Bins that share a value give bits of their own, so that two values which differ are told apart by many bins.
+            out.append((mix(densify(least[k * bins:(k + 1) * bins]) ^ own) & U((1 << bits) - 1)).astype(np.uint8) if size else None)
     return out
 
 
@@ -124,7 +129,7 @@ def _ranged(docs: DataFrame, parts: int) -> DataFrame:
     ids = F.col("doc_id")
     splits, known, rows = docs.agg(F.percentile_approx(ids, share, 100 * parts), F.count(ids), F.count("*")).first()
     splits = sorted(splits or [])
-    low = F.array(*[F.lit(x).cast("long") for x in [*splits, (1 << 63) - 1]])
+    low = F.from_json(F.lit(json.dumps([*splits, (1 << 63) - 1])), "array<long>")  # one constant, however many there are
     u = F.col("h") / F.lit(float(2**64)) + F.lit(0.5)
     less, most = _search(low, len(splits), ids, True), _search(low, len(splits), ids, False)
     spread = F.least(F.floor(u * (F.col("_most") - F.col("_less") + 1)), F.col("_most") - F.col("_less"))
@@ -170,16 +175,15 @@ def neighbours(docs: DataFrame, words: int = 5, bins: int = 512, bits: int = 4,
     once: each piece of the order also gets a copy of the row that follows its last one.
     """
     spark = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts)
-    # One row per piece, a number of the caller's choosing.
-    heads = sorted(rows.groupBy("pid").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "h")).alias("first")).select("pid", "first.k", "first.h").collect())
+    parts = parts or min(PIECES, PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = _ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    # One row per piece, of which there are PIECES at most.
+    heads = sorted(rows.groupBy("pid").agg(F.min(F.struct("key", "h")).alias("first")).select("pid", "first.key", "first.h").collect())
     if not heads:
         return spark.createDataFrame([], NEIGHBOURS)
-    before = {pid: heads[k - 1][0] for k, (pid, _, _) in enumerate(heads)}
-    copied = F.create_map(*(F.lit(x) for pid, k, h in heads for x in (F.concat_ws(":", F.lit(pid), F.lit(k), F.lit(h)), F.lit(before[pid]))))
-    name = F.concat_ws(":", "pid", F.coalesce("doc_id", F.lit(-(1 << 63))), "h")
-    to = F.array(F.struct("pid", F.lit(False).alias("tail")), F.struct(F.try_element_at(copied, name).alias("pid"), F.lit(True).alias("tail")))
-    dealt = rows.withColumn("to", F.explode(F.filter(to, lambda x: x.pid.isNotNull()))).select(F.col("to.pid").alias("pid"), F.col("to.tail").alias("tail"), "doc_id", "h", "text")
+    copies = spark.createDataFrame([(*r, heads[k - 1][0]) for k, r in enumerate(heads)], "pid long, key long, h long, before long")
+    to = F.array(F.struct("pid", F.lit(False).alias("tail")), F.struct(F.col("before").alias("pid"), F.lit(True).alias("tail")))
+    copied = rows.join(F.broadcast(copies), ["pid", "key", "h"], "left").withColumn("to", F.explode(F.filter(to, lambda x: x.pid.isNotNull())))
+    dealt = copied.select(F.col("to.pid").alias("pid"), F.col("to.tail").alias("tail"), "doc_id", "h", "text")
     ordered = dealt.repartition("pid").sortWithinPartitions("pid", "tail", "doc_id", "h", "text")
     return ordered.select("tail", "doc_id", "text").mapInArrow(_pairs(words, bins, bits), NEIGHBOURS)
