@@ -41,18 +41,19 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(scheme, suffixes, segments, asked)), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, least: int = 20) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) from (url, blocked): those whose tokens imply a block.
 
     Rows with a null url or label teach nothing.  A rule goes if another one's tokens are a part of its own and
-    its confidence is no higher.  Every labelled row counts.
+    its confidence is no higher.  Every labelled row counts; a rule needs the share support of them, and least rows.
     """
     items = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select(
         F.when(F.col("blocked"), F.concat(tokens_of(F.col("url")), F.array(F.lit(BLOCKED)))).otherwise(tokens_of(F.col("url"))).alias("items"))
     items = cut(items)
-    if items.isEmpty():
+    rows = items.count()
+    if rows < least:
         return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / rows), minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0] == BLOCKED).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = cut(rules.withColumn("rule_id", F.xxhash64("tokens")))
     # A part of a rule with one token left out is itself frequent, so pruning by single removals in turn suffices.
