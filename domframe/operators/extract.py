@@ -19,7 +19,7 @@ def children(nodes: DataFrame, of: DataFrame, include_text: bool = True) -> Data
     """
     tops = of.where("kind = 'element'").select(F.col("doc_id").alias("_doc"), F.col("node_id").alias("of_id"))
     rows = nodes if include_text else nodes.where("kind = 'element'")
-    return rows.join(tops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("parent_id") == F.col("of_id"))).drop("_doc")
+    return rows.join(tops, (F.col("doc_id") == F.col("_doc")) & (F.col("parent_id") == F.col("of_id"))).drop("_doc")
 
 
 def _segments(nodes: DataFrame, include_script: bool, include_style: bool, include_inputs: bool) -> DataFrame:
@@ -50,15 +50,15 @@ def text(nodes: DataFrame, of: DataFrame | None = None, deep: bool = True, separ
             pieces = pieces.where("depth = 0 OR depth = 1")
         found = pieces.select(F.col("doc_id").alias("_doc"), F.col("node_id").alias("_at"), "_piece").groupBy("_doc").agg(joined.alias("text"))
         docs = nodes.select("doc_id").distinct()
-        return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        return docs.join(found, (F.col("doc_id") == F.col("_doc")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     tops = of.select(F.col("doc_id").alias("_doc"), F.col("node_id").alias("_top"), F.col("subtree_end").alias("_end")).distinct()
     within = (F.col("node_id") >= F.col("_top")) & (F.col("node_id") <= F.col("_end"))
     if not deep:
         within = (F.col("parent_id") == F.col("_top")) | (F.col("node_id") == F.col("_top"))
-    inside = pieces.join(tops, F.col("doc_id").eqNullSafe(F.col("_doc")) & within).select(F.col("_doc"), "_top", F.col("node_id").alias("_at"), "_piece")
+    inside = pieces.join(tops, (F.col("doc_id") == F.col("_doc")) & within).select(F.col("_doc"), "_top", F.col("node_id").alias("_at"), "_piece")
     found = inside.groupBy("_doc", "_top").agg(joined.alias("text"))
     roots = of.select("doc_id", "node_id").distinct()
-    return roots.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("node_id") == F.col("_top")), "left").select("doc_id", "node_id", F.coalesce("text", F.lit("")).alias("text"))
+    return roots.join(found, (F.col("doc_id") == F.col("_doc")) & (F.col("node_id") == F.col("_top")), "left").select("doc_id", "node_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _literal(text: str) -> str:

@@ -23,8 +23,8 @@ def parse_html(df: DataFrame, key: str = "page_id", html: str = "html", context:
     """Node rows of every page: key as doc_id and the columns of NODE_FIELDS.
 
     With context, a tag like "ul" or "svg path" (or a column of such), html is a fragment in that element.  A null
-    html has no nodes, as has a null context in a column; an empty one has html, head and body.  Keys need not be
-    unique for parsing, but queries take rows of the same key as one document.
+    html has no nodes, as has a null context in a column or a null key; an empty html has html, head and body.  Keys
+    need not be unique for parsing, but queries take rows of the same key as one document.
     """
     name = df.schema[key]
     schema = nodes_schema(T.StructField("doc_id", name.dataType, name.nullable))
@@ -52,7 +52,7 @@ def parse_html(df: DataFrame, key: str = "page_id", html: str = "html", context:
                         arrays.append(pa.array(values, field.type))
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.where(F.col(key).isNotNull()).select(*columns).mapInArrow(run, schema)
 
 
 def tokenize_html(df: DataFrame, html: str = "html", tokens: str = "tokens", initial_state: str = "data", last_start_tag: str | None = None, xml_violation_mode: bool = False) -> DataFrame:

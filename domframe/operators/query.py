@@ -21,7 +21,7 @@ def _slim(nodes: DataFrame, compound) -> DataFrame:
 def _step(left: DataFrame, nodes: DataFrame, combinator: str, compound, siblings: str) -> DataFrame:
     right = _slim(nodes, compound)
     at = left.select(F.col("doc_id"), F.col("n").alias("l"), F.col("subtree_end").alias("l_end"), F.col("canon_parent" if siblings == "reference" else "p").alias("l_parent"), F.col("canon_elem" if siblings == "reference" else "elem_idx").alias("l_elem"), "order_key")
-    same = F.col("r.doc_id").eqNullSafe(F.col("a.doc_id"))
+    same = F.col("r.doc_id") == F.col("a.doc_id")  # plain equality, so that tables bucketed by document need no exchange
     on = {
         "descendant": same & (F.col("n") > F.col("l")) & (F.col("n") <= F.col("l_end")),
         "child": same & (F.col("p") == F.col("l")),
@@ -51,7 +51,7 @@ def query(nodes: DataFrame, selector: str, siblings: str = "reference", dedupe:
     if found is None:
         found = nodes.where(F.lit(False)).select("doc_id", F.col("node_id").alias("n"), F.array(F.lit(0)).alias("order_key"))
     first = found.groupBy(F.col("doc_id").alias("_doc"), F.col("n").alias("_n")).agg(F.min("order_key").alias("order_key"))
-    rows = nodes.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("node_id") == F.col("_n"))).drop("_doc", "_n")
+    rows = nodes.join(first, (F.col("doc_id") == F.col("_doc")) & (F.col("node_id") == F.col("_n"))).drop("_doc", "_n")
     if dedupe:
         rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id", "subtree_hash").orderBy("order_key"))).where("_turn = 1").drop("_turn")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("order_key")))
@@ -70,7 +70,7 @@ def reroot(nodes: DataFrame, found: DataFrame) -> DataFrame:
     tops = found.select(F.col("doc_id").alias("_doc"), F.col("node_id").alias("_top"), F.col("subtree_end").alias("_end"), F.col("depth").alias("_depth"), (F.col("rank") - 1).alias("_rank"), (F.col("subtree_end") - F.col("node_id") + 1).alias("_size"))
     before = Window.partitionBy("_doc").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("int"))
-    inside = nodes.join(tops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("node_id") >= F.col("_top")) & (F.col("node_id") <= F.col("_end")))
+    inside = nodes.join(tops, (F.col("doc_id") == F.col("_doc")) & (F.col("node_id") >= F.col("_top")) & (F.col("node_id") <= F.col("_end")))
     top = F.col("node_id") == F.col("_top")
     shift = F.col("_base") - F.col("_top")
     moved = inside.select(*[{

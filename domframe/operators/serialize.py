@@ -61,7 +61,7 @@ def to_html(nodes: DataFrame, of: DataFrame | None = None, quote_char: str | Non
         made = rows.select("doc_id", events.alias("e"))
         return made.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e.s), "").alias("html"))
     tops = of.select(F.col("doc_id").alias("_doc"), F.col("node_id").alias("_top"), F.col("subtree_end").alias("_end")).distinct()
-    inside = rows.join(tops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("node_id") >= F.col("_top")) & (F.col("node_id") <= F.col("_end")))
+    inside = rows.join(tops, (F.col("doc_id") == F.col("_doc")) & (F.col("node_id") >= F.col("_top")) & (F.col("node_id") <= F.col("_end")))
     made = inside.select("_doc", "_top", events.alias("e"))
     found = made.groupBy(F.col("_doc").alias("doc_id"), F.col("_top").alias("node_id"))
     return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e.s), "").alias("html"))

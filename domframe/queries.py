@@ -109,7 +109,7 @@ def query_type(spark, sf_dir):
 
 def _with_text(nodes: DataFrame, found: DataFrame, name: str, **options) -> DataFrame:
     words = text(nodes, found, **options).select(F.col("doc_id").alias("_doc"), F.col("node_id").alias("_node"), F.col("text").alias(name))
-    return found.join(words, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("node_id") == F.col("_node")))
+    return found.join(words, (F.col("doc_id") == F.col("_doc")) & (F.col("node_id") == F.col("_node")))
 
 
 @_query()
