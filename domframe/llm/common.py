@@ -44,8 +44,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Rounds of large-star and small-star: every round hangs each node's larger neighbours, and then the node
     itself with its smaller neighbours, on the smallest of them.  The edges end as stars around the smallest
-    ids.  The number of rounds is about logarithmic in the longest path; both joins read stored tables, so
-    that adaptive execution can split the rows of a node that very many edges share.
+    ids.  The number of rounds is about logarithmic in the longest path.  A node that very many edges share is
+    the smaller end of them, so the large star's join has stored tables on both sides: adaptive execution can
+    then split that node's rows, or send the other side to all tasks if it is small.
     """
     low, high = F.least(a, b), F.greatest(a, b)
     now = cut(edges.where(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct())
@@ -59,7 +60,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             if end == "v":  # large star: the least that v sees, itself included
                 both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(
                     now.select(F.col("u").alias("x"), F.col("v").alias("y")))
-                least = both.groupBy("x").agg(F.least(F.min("x"), F.min("y")).alias("m"))
+                least = cut(both.groupBy("x").agg(F.least(F.min("x"), F.min("y")).alias("m")))
                 step = now.join(least, F.col("v") == F.col("x")).select("u", F.col("m").alias("v"))
             else:  # small star: the least of u's smaller neighbours
                 least = now.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))

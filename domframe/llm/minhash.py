@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import components, cut
 from .words import U, distinct, mix, seeds, shingles_of
 
-#: Texts, and shingles, that one verifying task compares; larger groups are dealt out as pairs of blocks.
-BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 2_000_000
+#: Texts, and shingles, of a block; larger groups are dealt out in blocks, with about so many pivots in each.
+BLOCK_TEXTS, BLOCK_SHINGLES, PIVOTS = 512, 1_000_000, 16
 #: Up to so many members of candidate groups their ids are broadcast (about 50 MB); beyond, texts are joined by shuffle.
 BROADCAST_MEMBERS = 1_000_000
 #: Rows of an Arrow batch that are Python objects at a time.
@@ -149,34 +149,63 @@ def _verifier(k: int, percent: int):
     return run
 
 
+def _blocks(count, shingles):
+    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(count / BLOCK_TEXTS)).cast("int")
+
+
+def _stars(read: DataFrame, dealt: DataFrame, words: int, percent: int) -> DataFrame:
+    """Stars of verified links (a, b) within each task (comp, i, j) of dealt, which has an id's row for every task it is in."""
+    members = cut(dealt)
+    if members.count() <= BROADCAST_MEMBERS:
+        members = F.broadcast(members)
+    texts = read.join(members, F.col("doc_id") == F.col("id")).select("comp", "i", "j", "id", "text")
+    return texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id").mapInArrow(_verifier(words, percent), "a long, b long")
+
+
+def verified(read: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, comp) by verified links between members (id, comp, n shingles) of the same candidate group.
+
+    A group of one block is compared whole.  A larger one is first compared block by block, each with the same few
+    pivots, which joins nearly all copies of one text.  Then only pairs remain that lie in different blocks and aren't
+    connected yet; at least one of the two is outside the group's largest part.  So what is outside is compared,
+    again in blocks, with every block.
+    """
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    sized = members.groupBy("comp").agg(F.count("*").alias("m"), _blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    placed = cut(members.join(sized, "comp").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")))
+    pivot = (F.col("id") == F.col("comp")) | (F.pmod(F.xxhash64("id", F.lit(1)), "m") < PIVOTS)
+    first = placed.select("id", "comp", F.explode(F.when(pivot, upto(F.col("blocks"))).otherwise(F.array("own"))).alias("i"), F.lit(-1).alias("j"))
+    stars = cut(_stars(read, first, words, percent))
+    large = placed.where("blocks > 1")
+    if large.isEmpty():  # every group has been compared whole
+        return components(stars)
+    parts = cut(large.join(components(stars).withColumnRenamed("comp", "part"), "id", "left").withColumn("part", F.coalesce("part", "id")))
+    largest = parts.groupBy("comp", "part").agg(F.count("*").alias("c")).groupBy("comp").agg(F.max_by("part", F.struct("c", "part")).alias("largest"))
+    split = parts.join(largest, "comp").withColumn("outside", F.col("part") != F.col("largest"))
+    outside = split.where("outside").groupBy("comp").agg(_blocks(F.count("*"), F.sum("n")).alias("others"))
+    rest = split.join(outside, "comp").withColumn("other", F.pmod(F.xxhash64("id", F.lit(2)), "others").cast("int"))
+    with_all = F.explode(F.transform(upto(F.col("others")), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))).alias("x")
+    in_all = F.explode(F.transform(upto(F.col("blocks")), lambda i: F.struct(i.alias("i"), F.col("other").alias("j")))).alias("x")
+    second = rest.select("id", "comp", with_all).unionByName(rest.where("outside").select("id", "comp", in_all)).select("id", "comp", "x.i", "x.j").distinct()
+    return components(stars.unionByName(_stars(read, second, words, percent)))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, t: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Null, empty and blank texts have no shingles and link with nothing; texts of fewer words are one shingle.
     Repeated rows each keep a row; rows that share a doc_id are one node.  A row without doc_id belongs to the
     texts with its shingle set but stands for none; if all of those lack ids, component_id is null and kept true.
-
-    Candidate groups are what bands connect.  Within a group all pairs of one block, or of two blocks, are compared
-    in a task, and only stars of verified links come out.
     """
-    rows = rows_per_band(percent, t)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = cut(read.mapInArrow(_sketcher(words, t, rows), SKETCHES))
+    sketched = cut(read.mapInArrow(_sketcher(words, t, rows_per_band(percent, t)), SKETCHES))
     full = sketched.where("n_shingles > 0")
     classes = cut(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")).where("rep IS NOT NULL"))
     banded = classes.select("rep", F.explode("bands").alias("band"))
     hubs = cut(banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub"))
     groups = components(banded.join(hubs, "band").select(F.col("rep").alias("a"), F.col("hub").alias("b")), "a", "b")
-    sized = groups.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n_shingles").alias("n")), "id")
-    blocks = sized.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
-    members = cut(groups.join(blocks, "comp").select("id", "comp", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own")))
-    if members.count() <= BROADCAST_MEMBERS:
-        members = F.broadcast(members)
-    texts = read.join(members, F.col("doc_id") == F.col("id"))
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
-    dealt = texts.withColumn("other", F.explode(other)).select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "text")
-    stars = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id").mapInArrow(_verifier(words, percent), "a long, b long")
-    found = components(stars)
+    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n_shingles").alias("n"))
+    found = verified(read, groups.join(sizes, "id"), words, percent)
     named = cut(classes.select("d1", "d2", "n_shingles", "rep").join(found.select(F.col("id").alias("rep"), "comp"), "rep", "left"))
     named = named.select("d1", "d2", F.col("n_shingles").alias("n"), F.coalesce("comp", "rep").alias("component"))
     s = sketched.select("doc_id", "n_shingles", F.col("d1").alias("e1"), F.col("d2").alias("e2"))
