@@ -62,10 +62,12 @@ def test_near_duplicates_equal_brute_force(spark, k, percent):
     assert all(r["kept"] == (d == want[d]) and r["n_shingles"] == len(shingles(dict(rows)[d], k)) for d, r in got.items())
 
 
-def test_near_duplicates_in_blocks_and_by_shuffle(spark, monkeypatch):
+@pytest.mark.parametrize(("size", "pivots"), [(3, 1), (2, 0), (5, 2)])
+def test_near_duplicates_in_blocks_and_by_shuffle(spark, monkeypatch, size, pivots):
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", size)
+    monkeypatch.setattr(minhash, "PIVOTS", pivots)
     monkeypatch.setattr(minhash, "BROADCAST_MEMBERS", -1)
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 3, 85).collect()}
     assert got == classes(rows, 3, 85)

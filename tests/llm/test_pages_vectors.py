@@ -64,6 +64,9 @@ def test_scanner_reads_what_tags_hide():
     assert text("<table><tr><td>1<td>2<tr><td>3</table>") == "1 2 3"
     assert text("one<b>two</b> three<span> four</span>") == "onetwo three four"
     assert text("<p hidden>no<p data-hidden=x>yes") == "yes"
+    assert text("<div class='page with-sidebar'><p>in</p><div id=sidebar>out</div></div>") == "in"
+    assert text("<div class='comments'><p>all there is</p></div><footer>f</footer>") == "all there is"
+    assert text("<article class=post><header class='entry-header'><h1>T</h1></header><p>x</p><div class='share-box'>s</div><aside>a</aside></article>") == "T x"
 
 
 def brute(rows, cosine=0.98):
