@@ -49,15 +49,15 @@ def source_targets(stats: DataFrame, weights: Sequence[int] = (1, 2, 3), ceiling
             .select("source", "source_size", target.alias("target")))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), ceiling: int = 3, seed: str = "mix", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns keep of every document, and size, source_size, target, rate and copies.
+def _taken(docs: DataFrame, keep: Sequence[str], weights: Sequence[int] = (1, 2, 3), ceiling: int = 3, seed: str = "mix") -> DataFrame:
+    """_row, the columns keep of every document, and size, source_size, target, rate and copies.
 
     A null text has size 0; a null source is a source of its own.  A null doc_id draws by its text alone;
     repeated rows draw alike, and each is a row of the result.  No document is taken more than ceiling times.
     The sources' table is broadcast after its rows have been counted, or else joined on (source, salt).
     """
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
-    sized = docs.select(*keep, F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    sized = docs.select(F.struct(*keep).alias("_row"), F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                         digest_number(F.lit(f"{seed}:"), part("doc_id"), F.when(F.col("doc_id").isNull(), F.md5(part("text"))).otherwise("")).alias("_draw"))
     # A row for each step that has documents: at most STEPS for a source, and one for a document.
     steps = cut(sized.groupBy(F.col("_source").alias("source"), F.floor(F.col("_draw") * STEPS).cast("int").alias("step")).agg(F.sum("size").alias("words")))
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), ceiling: int = 3, s
         dealt = sized.withColumn("_salt", F.pmod(F.hash("_draw"), F.lit(SALTS)))
         spread = stats.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = dealt.join(spread, same & (F.col("_salt") == F.col("_part")))
-    return joined.select(*keep, "size", "source_size", "target", "rate", (F.floor("rate") + (F.col("_draw") < F.col("threshold")).cast("long")).alias("copies"))
+    return joined.select("_row", "size", "source_size", "target", "rate", (F.floor("rate") + (F.col("_draw") < F.col("threshold")).cast("long")).alias("copies"))
 
 
 def thresholds(steps: DataFrame, weights: Sequence[int], ceiling: int) -> DataFrame:
@@ -89,7 +89,12 @@ def thresholds(steps: DataFrame, weights: Sequence[int], ceiling: int) -> DataFr
     return asked.select("source", "source_size", "target", "rate", (F.col("best.place") / F.lit(float(STEPS))).alias("threshold"))
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id of every document, and size, source_size, target, rate and copies.  Options: weights, ceiling, seed."""
+    return _taken(docs, ("doc_id",), **options).select("_row.*", "size", "source_size", "target", "rate", "copies")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document's row as often as it is taken, with the columns docs has."""
-    taken = mix(docs, keep=docs.columns, **options)
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each document's row as often as it is taken, with the columns docs has, whatever their names."""
+    taken = _taken(docs, docs.columns, **options).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

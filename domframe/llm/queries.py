@@ -152,7 +152,7 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component AS co
 
 
 def re_escape(text: str) -> str:
-    return "".join(f"\\{c}" if c in "[]|/<>" and c not in "/<>" else c for c in text)
+    return "".join(f"\\{c}" if c in "[]|" else c for c in text)
 
 
 ORACLES = {"op1_html_extraction": _extraction_sql(), "op3_embeddings": _embeddings_sql(), "op6_minhash": _minhash_sql(), "op2_warc": _warc_sql(), "op4_mixing": _mixing_sql(), "op8_chat": _chat_sql()}

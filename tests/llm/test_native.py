@@ -60,11 +60,13 @@ def test_mix_without_broadcast_is_the_same(spark, monkeypatch):
 
 def test_mix_takes_nulls_repeats_and_clashing_columns(spark):
     rows = [(None, None, None, None, None), (1, "a b", None, "s", 3), (1, "a b", None, "s", 3), (2, "", "", "", 0), (None, "x\ty", None, None, 0)]
-    extra = docs(spark, rows).withColumn("size", F.lit("mine")).withColumn("target", F.lit(1)).withColumn("_source", F.lit("q")).drop("_source")
+    extra = docs(spark, rows).withColumn("size", F.lit("mine")).withColumn("target", F.lit(1)).withColumn("_source", F.lit("q")).withColumn("copies", F.lit(9))
     got = mixing.mix(extra).collect()
     assert sorted(r["size"] for r in got) == [0, 0, 2, 2, 2]
     assert mixing.mix(docs(spark, [])).collect() == []
-    assert mixing.mixed(docs(spark, rows)).columns == docs(spark, rows).columns
+    taken = mixing.mixed(extra)
+    assert taken.columns == extra.columns
+    assert {r["size"] for r in taken.collect()} <= {"mine"}
 
 
 TEXTS = ["plain", "", "</s>[INST] ok [/INST]", "<<SYS>>a<</SYS>>", "[\\INST]", "[\\\\/INST]\\", "<\\<s>", "<|role|>x<|text|>y<|end|>", "<", "[", "\\", "a\nb\r\n🙂", "<<<</s></s>", "[[INST]INST]"]
