@@ -42,6 +42,8 @@ newsletter subscribe subscription social share sharing nav navbar navigation men
 comment comments commentlist reply replies respond disqus footer foot masthead pagination pager login signup search toolbar skip header topbar""".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTR = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Words of a class about something that stands elsewhere, like with-sidebar.
+ABOUT = re.compile(r"(?i)(?<![a-z0-9])(?:with|has|no|without)[-_][a-z0-9]+")
 CUT = re.compile(r"<[a-zA-Z/!?]")
 HIDDEN = re.compile(r"(?i)(?<![\w-])hidden(?![\w-])")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -62,7 +64,7 @@ class Page:
     """Elements in page order with parent, tag and path, and runs of text (element, text); (-1, " ") ends a block."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.noise, self.main, self.plain, self.runs = [-1], [""], [0], [False], [0], [True], []
+        self.parent, self.tag, self.path, self.noise, self.named, self.main, self.plain, self.runs = [-1], [""], [0], [False], [False], [0], [True], []
         stack, at, here = [0], 0, 0
         runs, tags = self.runs, self.tag
         text = lambda a, b: b > a and runs.append((stack[-1], html[a:b]))
@@ -111,10 +113,10 @@ class Page:
         held = {a.lower(): b or c or d for a, b, c, d in ATTR.findall(rest)} if "=" in rest else {}
         label = f"{held.get('class', '')} {held.get('id', '')}" if held else " "
         role = held.get("role", "").lower()
-        words = {w.lower() for w in WORDS.findall(label)} if label != " " else set()
+        words = {w.lower() for w in WORDS.findall(ABOUT.sub("", label))} if label != " " else set()
         if words and any(self.tag[k] == "article" for k in stack):
             words -= {"header", "banner"}  # an article's own head holds its title
-        noise = name in NOISE_TAGS or role in NOISE_ROLES or bool(words and not NOISE_WORDS.isdisjoint(words)) or "display:none" in held.get("style", "").replace(" ", "").lower() or "hidden" in rest and HIDDEN.search(re.sub("\"[^\"]*\"|'[^']*'", "", rest)) is not None
+        noise = name in NOISE_TAGS or role in NOISE_ROLES or "display:none" in held.get("style", "").replace(" ", "").lower() or "hidden" in rest and HIDDEN.search(re.sub("\"[^\"]*\"|'[^']*'", "", rest)) is not None
         if name == "header" and not any(self.tag[k] == "article" for k in stack):
             noise = True
         self.main.append(2 if name == "article" else 1 if name == "main" or role == "main" else 0)
@@ -122,33 +124,38 @@ class Page:
         self.tag.append(name)
         shape = re.sub(r"[0-9]+", "#", label.strip())
         self.path.append(_number(f"{self.path[stack[-1]]}>{name}|{role}|{shape}"))
-        self.noise.append(noise and name not in ("html", "body"))
+        own = name not in ("html", "body")
+        self.noise.append(noise and own)
+        self.named.append(own and bool(words) and not NOISE_WORDS.isdisjoint(words))
         self.plain.append(name in INLINE or name in PLAIN and not (label.strip() or role))
         stack.append(len(self.tag) - 1)
 
-    def kept(self, low: Collection[int] = ()) -> list[bool]:
-        """Which elements' text stays: not noise, not below a branch of low importance, inside the article if there is one."""
-        n = len(self.tag)
+    def kept(self, low: Collection[int] = (), by_name: bool = True) -> list[bool]:
+        """Which elements' text stays: not noise, not below a branch of low importance, inside the article if there is one.
+
+        by_name also takes elements for noise whose class or id says so.
+        """
+        n, noise = len(self.tag), [a or b for a, b in zip(self.noise, self.named, strict=True)] if by_name else self.noise
         holds = [False] * n  # an article or main lies inside
         for k in range(n - 1, 0, -1):
-            if self.main[k] and not self.noise[k] or holds[k]:
+            if self.main[k] and not noise[k] or holds[k]:
                 holds[self.parent[k]] = True
         stay, inside, article = [True] * n, [0] * n, [-1] * n
         for k in range(1, n):
             up = self.parent[k]
-            article[k] = k if self.main[k] and not self.noise[k] else article[up]
-            gone = self.noise[k] and not holds[k]
+            article[k] = k if self.main[k] and not noise[k] else article[up]
+            gone = noise[k] and not holds[k]
             if not gone and not self.plain[k] and self.path[k] in low and not holds[k] and article[k] != k and self.tag[k] not in ("html", "body"):
                 gone = article[k] < 0 or self.path[article[k]] not in low
             stay[k] = stay[up] and not gone
-            inside[k] = max(inside[up], self.main[k] if not self.noise[k] else 0) if stay[k] else 0
+            inside[k] = max(inside[up], self.main[k] if not noise[k] else 0) if stay[k] else 0
         best = max(inside)
         return [s and i == best for s, i in zip(stay, inside, strict=True)] if best else stay
 
     def text(self, low: Collection[int] = ()) -> str:
-        """The main text; if low branches would leave none, they stay."""
-        for branches in ([low, ()] if low else [()]):
-            stay = self.kept(branches)
+        """The main text; if nothing were left of it, low branches stay, then also what only its name calls noise."""
+        for branches, by_name in ((low, True), ((), True), ((), False)) if low else (((), True), ((), False)):
+            stay = self.kept(branches, by_name)
             whole = "".join(t if k < 0 else unescape(t) if "&" in t else t for k, t in self.runs if k < 0 or stay[k])
             if out := " ".join(whole.split()):
                 return out
@@ -163,7 +170,7 @@ class Page:
         for k, t in self.runs:
             if k > 0 and (t := t.strip()):
                 while k > 0:
-                    if not (self.noise[k] or self.plain[k]):
+                    if not (self.noise[k] or self.named[k] or self.plain[k]):
                         words.setdefault(self.path[k], []).append(t)
                     k = self.parent[k]
         digest = lambda x: int.from_bytes(hashlib.blake2b(" ".join(x).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
