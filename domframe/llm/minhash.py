@@ -20,7 +20,7 @@ from .common import components, cut
 from .words import U, distinct, mix, seeds, shingles_of
 
 #: Texts, and shingles, of a block; larger groups are dealt out in blocks, with about so many pivots in each.
-BLOCK_TEXTS, BLOCK_SHINGLES, PIVOTS = 512, 1_000_000, 16
+BLOCK_TEXTS, BLOCK_SHINGLES, PIVOTS = 128, 500_000, 8
 #: Up to so many members of candidate groups their ids are broadcast (about 50 MB); beyond, texts are joined by shuffle.
 BROADCAST_MEMBERS = 1_000_000
 #: Rows of an Arrow batch that are Python objects at a time.
