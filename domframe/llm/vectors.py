@@ -12,7 +12,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 #: Centres are fitted on a sample of at most so many vectors in all, and of one label.
-SAMPLE, SAMPLE_LABEL = 40_000, 8000
+SAMPLE, SAMPLE_LABEL = 20_000, 4000
+#: Numbers that the sample's vectors have in all (32 MB as doubles), which bounds it further for long vectors.
+SAMPLE_NUMBERS = 4_000_000
 #: Vectors of a label for one centre; shards a vector can belong to; vectors of a shard that one task holds.
 PER_CENTRE, OVERLAP, BLOCK = 800, 4, 2000
 #: Neighbours kept by pruning (per direction), candidates it chooses from, and how much longer a detour must be.
@@ -35,11 +36,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, label, embedding (doubles), dim and k1, k2, hashes of the vector; null where a row links with nothing.
+    """vec_id, label, embedding (its own floats or doubles), dim and k1, k2, hashes of it; null where a row links with nothing.
 
     A row links only if label and vector are not null and all components are there, finite and not all zero.
     """
-    e = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # -0 becomes 0
+    kind = rows.schema["embedding"].dataType.elementType.typeName()
+    kind = kind if kind == "float" else "double"
+    e = F.transform("embedding", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # -0 becomes 0
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     held = F.when(F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)), e)
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", held.alias("embedding")).withColumn("dim", F.size("embedding"))
@@ -55,8 +58,8 @@ def centres(vectors: DataFrame) -> dict[tuple, np.ndarray]:
     large = {k: n for k, n in sizes.items() if n > PER_CENTRE}
     if not large:
         return {}
-    each = min(SAMPLE_LABEL, SAMPLE // len(large))
-    share = F.create_map(*(F.lit(x) for (label, dim), n in large.items() for x in (f"{label}:{dim}", min(1.0, each / n))))
+    each = {(label, dim): max(2, min(SAMPLE_LABEL, SAMPLE // len(large), SAMPLE_NUMBERS // (dim * len(large)))) for label, dim in large}
+    share = F.create_map(*(F.lit(x) for (label, dim), n in large.items() for x in (f"{label}:{dim}", min(1.0, each[label, dim] / n))))
     drawn = vectors.withColumn("u", F.xxhash64("embedding") / F.lit(float(2**64)) + 0.5).where(F.col("u") < F.try_element_at(share, F.concat_ws(":", "label", "dim")))
     taken: dict[tuple, list] = {}
     for r in drawn.orderBy("u").limit(2 * SAMPLE).select("label", "dim", "embedding").collect():
@@ -84,27 +87,40 @@ def _assigner(table: dict[tuple, np.ndarray], cosine: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.to_pandas()
-            parts = []
-            for (label, dim), rows in p.groupby(["label", "dim"]):
-                c = table.get((label, dim))
+            by: dict[tuple, list[int]] = {}
+            for k, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
+                by.setdefault(key, []).append(k)
+            vectors = _split(batch.column("embedding"))
+            taken, shards, owns = [], [], []
+            for key, rows in by.items():
+                c = table.get(key)
                 if c is None:
-                    parts.append(rows.assign(shard=0, own=0))
-                    continue
-                like = _unit(np.stack(rows["embedding"].to_numpy())) @ c.T.astype(np.float64)
-                best = like.argmax(axis=1)
-                apart = np.linalg.norm(c[best][:, None, :] - c[None], axis=2)
-                # a vector that links with this one can only be nearest to a centre whose bisecting plane is within reach
-                near = like.max(axis=1)[:, None] - like <= reach * apart + 1e-9
-                rank = (-like).argsort(axis=1).argsort(axis=1)
-                at, shard = np.nonzero(near & (rank < OVERLAP))
-                parts.append(rows.iloc[at].assign(shard=shard, own=best[at]))
-            if parts:
-                yield pa.RecordBatch.from_pandas(pd.concat(parts)[["label", "dim", "shard", "own", "rep", "copies", "embedding"]], preserve_index=False)
+                    at, shard, best = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+                else:
+                    like = _unit(np.stack([vectors[k] for k in rows]).astype(np.float64)) @ c.T.astype(np.float64)
+                    best = like.argmax(axis=1)
+                    apart = np.linalg.norm(c[best][:, None, :] - c[None], axis=2)
+                    # a vector that links with this one can only be nearest to a centre whose bisecting plane is within reach
+                    near = like.max(axis=1)[:, None] - like <= reach * apart + 1e-9
+                    rank = (-like).argsort(axis=1).argsort(axis=1)
+                    at, shard = np.nonzero(near & (rank < OVERLAP))
+                taken.append(np.array(rows)[at])
+                shards.append(shard)
+                owns.append(best[at])
+            if taken:
+                rows = batch.take(pa.array(np.concatenate(taken)))
+                made = {"shard": pa.array(np.concatenate(shards), pa.int64()), "own": pa.array(np.concatenate(owns), pa.int64())}
+                names = ["label", "dim", "shard", "own", "rep", "copies", "embedding"]
+                yield pa.RecordBatch.from_arrays([made[n] if n in made else rows.column(n) for n in names], names=names)
 
     return run
 
 
+def _split(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays."""
+    return np.split(column.flatten().to_numpy(), np.cumsum(np.array(pc.list_value_length(column)))[:-1]) if len(column) else []
+
+
 def build_graph(x: np.ndarray, degree: int = DEGREE, pool: int = POOL) -> list[np.ndarray]:
     """Adjacency lists of unit vectors: robust pruning of each one's nearest, then the reverse edges as well."""
     n = len(x)
@@ -121,7 +137,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, pool: int = POOL) -> list[n
         order = far.argsort(axis=1, kind="stable")
         near[at:at + 512], far = np.take_along_axis(top, order, 1), np.take_along_axis(far, order, 1)
         own = x[near[at:at + 512]]
-        between = 2 - 2 * np.einsum("bid,bjd->bij", own, own)
+        between = 2 - 2 * np.matmul(own, own.transpose(0, 2, 1))
         alive, count = np.ones(far.shape, bool), np.zeros(len(far), np.int64)
         for j in range(pool):
             take = alive[:, j] & (count < degree)
@@ -176,7 +192,7 @@ def _tasks(batches: Iterator[pa.RecordBatch], work, columns: list[str], names: l
 
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "shard", "i", "j")), strict=True))
-        values = np.split(batch.column("embedding").flatten().to_numpy(), np.cumsum(np.array(pc.list_value_length(batch.column("embedding"))))[:-1])
+        values = _split(batch.column("embedding"))
         rows = list(zip(*(values if c == "embedding" else batch.column(c).to_pylist() for c in columns), strict=True))
         for k, row in zip(keys, rows, strict=True):
             if k != key:
@@ -190,7 +206,7 @@ def _tasks(batches: Iterator[pa.RecordBatch], work, columns: list[str], names: l
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def work(key, rows):
-        x = _unit(np.stack(rows["embedding"])).astype(np.float32)
+        x = _unit(np.stack(rows["embedding"]).astype(np.float64)).astype(np.float32)
         reps = np.array(rows["rep"])
         return rows["rep"], [reps[k].tolist() for k in build_graph(x)]
 
@@ -199,7 +215,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _searcher(cosine: float):
     def work(key, rows):
-        exact = _unit(np.stack(rows["embedding"]))
+        exact = _unit(np.stack(rows["embedding"]).astype(np.float64))
         x, n = exact.astype(np.float32), len(exact)
         place = {rep: k for k, rep in enumerate(rows["rep"])}
         links = [np.array([place[r] for r in near if r in place], np.int64) for near in rows["near"]]
@@ -211,7 +227,8 @@ def _searcher(cosine: float):
             if not len(inside):
                 continue
             medoid = int(inside[(x[inside] @ x[inside].mean(axis=0)).argmax()])
-            for q, found in range_search(x, links, np.flatnonzero(block == there), medoid, cosine - 1e-3):
+            # one of a pair has its own shard here, so searching from those is enough
+            for q, found in range_search(x, links, np.flatnonzero((block == there) & (own == shard)), medoid, cosine - 1e-3):
                 # every pair has one home: the lesser of its two own shards, and the task of its two blocks
                 found = found[(np.minimum(own[found], own[q]) == shard) & ((i == j) | (block[found] != block[q]))]
                 codes.append(np.minimum(found, q) * n + np.maximum(found, q))
@@ -284,15 +301,13 @@ def audit(rows: DataFrame, found: DataFrame, cosine: float = 0.98, every: int =
 
         def run(batches, chosen=chosen):
             for batch in batches:
-                p = batch.to_pandas()
+                by: dict[tuple, list[np.ndarray]] = {}
+                for label, v in zip(batch.column("label").to_pylist(), _split(batch.column("embedding")), strict=True):
+                    by.setdefault((label, len(v)), []).append(v)
                 hits = 0
-                for label, own in p.groupby("label"):
-                    q = [r for r in chosen if r["label"] == label]
-                    for dim, same in own.groupby(own["embedding"].map(len)):
-                        asked_of = [r for r in q if len(r["embedding"]) == dim]
-                        if asked_of:
-                            like = _unit(np.array([r["embedding"] for r in asked_of])) @ _unit(np.stack(same["embedding"].to_numpy())).T
-                            hits += int((like >= cosine).sum())
+                for (label, dim), rows in by.items():
+                    if asked_of := [r["embedding"] for r in chosen if r["label"] == label and len(r["embedding"]) == dim]:
+                        hits += int((_unit(np.array(asked_of, np.float64)) @ _unit(np.stack(rows).astype(np.float64)).T >= cosine).sum())
                 yield pa.RecordBatch.from_arrays([pa.array([hits], pa.int64())], names=["hits"])
 
         total += (vectors.select("label", "embedding").mapInArrow(run, "hits long").agg(F.sum("hits")).first()[0] or 0) - len(chosen)
