@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Encoded words that a worker keeps, and pairs of pieces it remembers a verdict on.
-KEPT_WORDS, KEPT_PAIRS = 250_000, 500_000
+KEPT_WORDS, KEPT_PAIRS = 160_000, 400_000
 
 
 class Encoder:
