@@ -2,8 +2,10 @@
 
 Pages of a host are merged by the path of their elements (tag, role, classes, id).  For every path the entropy of
 what its elements hold on the host's pages, and of how their children are laid out, says how important the branch
-is: a branch that is the same on every page is template.  Branches of low importance go from each page, after
-those whose tag, role or class says what they are; where a page marks its article, the text is taken from there.
+is: a branch that is the same on every page is template.  Blocks are told apart by what they hold as well, wherever
+they stand among their siblings: one that most of the host's pages have in the same branch is template.  What is
+template goes from each page, after what its tag, role or class says is noise; where a page marks its article, the
+text is taken from there.
 """
 
 from __future__ import annotations
@@ -17,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Share of the content's importance in that of a branch; the rest is its layout's.
 CONTENT_SHARE = 0.8
 #: Branches below this importance are template, on hosts that show the branch on so many pages at least.
 LOW, LEAST_PAGES = 0.3, 4
-#: Up to so many low branches the table of hosts is broadcast (about 20 MB); beyond, it is joined by shuffle.
+#: A block is template if more than this share of the pages that show its parent's branch have it, and LEAST_PAGES.
+MOST = 0.5
+#: Up to so many low branches (or totals of branches) the table of hosts is broadcast (about 20 MB); beyond, it is joined by shuffle.
 BROADCAST_BRANCHES = 500_000
 #: Parts into which the pages of one host are dealt when that table is not broadcast.
 SALTS = 64
@@ -33,7 +39,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: An opening tag ends an open one of these, up to the nearest of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, {"html"})}
-#: Parts of running text; without class, id or role they are no branches of their own, and inline elements never are.
+#: Parts of running text; without class, id or role only what they hold tells them apart, and inline elements are never told apart.
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre tr td th tbody thead tfoot caption figcaption hgroup html body br hr".split())
 NOISE_TAGS = frozenset("head nav footer aside form button select dialog menu noscript template audio video canvas datalist".split()) | RAW
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
@@ -60,11 +66,16 @@ def _number(path: str) -> int:
     return n
 
 
+def _digest(parts: Collection[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 class Page:
     """Elements in page order with parent, tag and path, and runs of text (element, text); (-1, " ") ends a block."""
 
     def __init__(self, html: str):
         self.parent, self.tag, self.path, self.noise, self.named, self.main, self.plain, self.runs = [-1], [""], [0], [False], [False], [0], [True], []
+        self._blocks: dict[int, int] | None = None
         stack, at, here = [0], 0, 0
         runs, tags = self.runs, self.tag
         text = lambda a, b: b > a and runs.append((stack[-1], html[a:b]))
@@ -140,12 +151,13 @@ class Page:
         for k in range(n - 1, 0, -1):
             if self.main[k] and not noise[k] or holds[k]:
                 holds[self.parent[k]] = True
+        blocks = self.blocks() if low else {}
         stay, inside, article = [True] * n, [0] * n, [-1] * n
         for k in range(1, n):
             up = self.parent[k]
             article[k] = k if self.main[k] and not noise[k] else article[up]
             gone = noise[k] and not holds[k]
-            if not gone and not self.plain[k] and self.path[k] in low and not holds[k] and article[k] != k and self.tag[k] not in ("html", "body"):
+            if not gone and (not self.plain[k] and self.path[k] in low or blocks.get(k) in low) and not holds[k] and article[k] != k and self.tag[k] not in ("html", "body"):
                 gone = article[k] < 0 or self.path[article[k]] not in low
             stay[k] = stay[up] and not gone
             inside[k] = max(inside[up], self.main[k] if not noise[k] else 0) if stay[k] else 0
@@ -173,31 +185,60 @@ class Page:
                     if not (self.noise[k] or self.named[k] or self.plain[k]):
                         words.setdefault(self.path[k], []).append(t)
                     k = self.parent[k]
-        digest = lambda x: int.from_bytes(hashlib.blake2b(" ".join(x).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-        return [(p, digest(x), digest(shape.get(p, ()))) for p, x in words.items()]
+        return [(p, _digest(x), _digest(shape.get(p, ()))) for p, x in words.items()]
 
+    def blocks(self) -> dict[int, int]:
+        """A number for each block element that has text to keep: of its path and of all it holds, in page order."""
+        if self._blocks is None:
+            self._blocks, stay = {}, self.kept()
+            parts: dict[int, list[tuple[int, str]]] = {}
+            for at, (k, t) in enumerate(self.runs):
+                if k > 0 and stay[k] and (t := " ".join(t.split())):
+                    parts.setdefault(k, []).append((at, t))
+            for k in range(len(self.tag) - 1, 0, -1):
+                if k in parts:
+                    held = sorted(parts.pop(k))
+                    number = _digest([f"{self.path[k]}", *(t for _, t in held)])
+                    parts.setdefault(self.parent[k], []).append((held[0][0], f"{number}"))
+                    if self.plain[k] and self.tag[k] not in INLINE and self.tag[k] not in ("html", "body"):
+                        self._blocks[k] = number
+        return self._blocks
 
-def low_branches(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, paths): the branches of low importance of each host, as a list of numbers.
+    def facts(self) -> Iterator[tuple[int, int, int]]:
+        """(path, kind, what): of branches the content (0) and layout (1); of parents the blocks (2), and that they are there (3)."""
+        for path, content, layout in self.branches():
+            yield from ((path, 0, content), (path, 1, layout))
+        held = {(self.path[self.parent[k]], number) for k, number in self.blocks().items()}
+        yield from ((path, 2, number) for path, number in held)
+        yield from ((path, 3, 0) for path in {path for path, _ in held})
+
+
+def low_branches(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES, most: float = MOST) -> DataFrame:
+    """(host, paths): the branches of low importance and the template blocks of each host, as a list of numbers.
 
     Importance is CONTENT_SHARE x content + the rest x layout, where each is the entropy over the host's pages that
     show the branch, as a share of the most it can be: 0 if all pages have the same, 1 if each has its own.
-    Pages without url belong to no host.
+    A block is template if more than the share most of the host's pages that show its parent's branch have it there;
+    so a host has at most 1 / most times as many of them as a page has blocks.  Pages without url belong to no host.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(host, *x) for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in Page(html).branches()]
+            rows = [(host, *x) for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in Page(html).facts()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["host", "path", "content", "layout"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "path", "kind", "what"])
 
-    seen = pages.where("html IS NOT NULL AND _host IS NOT NULL").select("_host", "html").mapInArrow(run, "host long, path long, content long, layout long")
-    kinds = seen.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("is")), F.struct(F.lit(1).alias("kind"), F.col("layout").alias("is")))).alias("x"))
-    counts = kinds.groupBy("host", "path", "x.kind", "x.is").agg(F.count("*").alias("c"))
-    spread = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    seen = pages.where("html IS NOT NULL AND _host IS NOT NULL").select("_host", "html").mapInArrow(run, "host long, path long, kind int, what long")
+    counts = seen.groupBy("host", "path", "kind", "what").agg(F.count("*").alias("c"))
+    counts = cut(counts.where((F.col("kind") < 2) | (F.col("c") >= least_pages)))  # fewer are never template
+    spread = counts.where("kind < 2").groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
     weight = F.when(F.col("kind") == 0, CONTENT_SHARE).otherwise(1 - CONTENT_SHARE)
     rated = spread.groupBy("host", "path").agg(F.sum(weight * entropy).alias("importance"), F.max("m").alias("pages"))
-    return rated.where((F.col("importance") < low) & (F.col("pages") >= least_pages)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    branches = rated.where((F.col("importance") < low) & (F.col("pages") >= least_pages)).select("host", "path")
+    shown = counts.where("kind = 3").select("host", "path", F.col("c").alias("pages"))
+    blocks = counts.where("kind = 2").join(F.broadcast(shown) if shown.count() <= BROADCAST_BRANCHES else shown, ["host", "path"])
+    blocks = blocks.where(F.col("c") > F.col("pages") * most).select("host", F.col("what").alias("path"))
+    return branches.unionByName(blocks).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
 def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -206,8 +247,6 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES)
     References are decoded, white space in a block is one space, blocks are joined in page order by one space;
     nothing is cut.  Repeated rows each have their row.
     """
-    from .common import cut
-
     host = F.xxhash64(F.lower(F.nullif(F.regexp_extract("url", "(?s)^.*?://([^/?#]*)", 1), F.lit(""))))
     rows = pages.select("page_id", "url", "html", F.when(F.length(F.regexp_extract("url", "(?s)^.*?://([^/?#]*)", 1)) > 0, host).alias("_host"))
     table = cut(low_branches(rows, low, least_pages))

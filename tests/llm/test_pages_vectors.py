@@ -39,6 +39,18 @@ def test_style_tree_finds_the_template_where_nothing_names_it(spark, monkeypatch
     assert "Own words 51" in got[51]
 
 
+@pytest.mark.parametrize("limit", [extraction.BROADCAST_BRANCHES, -1])
+def test_repeated_classless_parts_of_an_article_go(spark, monkeypatch, limit):
+    monkeypatch.setattr(extraction, "BROADCAST_BRANCHES", limit)
+    rows = []
+    for k in range(10):
+        extra = "<p>Now and then.</p>" if k < 4 else ""  # on fewer than half of the pages, so it is text
+        parts = f"<h1>Title {k}</h1><p>Own words {k}</p>{extra}<h3>Read on</h3><p>Join our <b>club</b> today.</p><ul><li>Item {k}<li>Buy here</ul><table><tr><td>cell {k}<td>advert</table>"
+        rows.append((k, "https://plain.example/", page("plain.example", k, f"<article>{parts}</article>")))
+    got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k} Own words {k}{' Now and then.' if k < 4 else ''} Item {k} cell {k}" for k in range(10)}
+
+
 def test_copies_of_an_article_are_kept(spark):
     rows = [(k, "http://c.net/", page("c.net", k, "<article><h1>Same</h1><p>Same words on every page.</p></article>")) for k in range(8)]
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
