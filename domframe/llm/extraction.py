@@ -200,7 +200,7 @@ class Page:
                     held = sorted(parts.pop(k))
                     number = _digest([f"{self.path[k]}", *(t for _, t in held)])
                     parts.setdefault(self.parent[k], []).append((held[0][0], f"{number}"))
-                    if self.plain[k] and self.tag[k] not in INLINE and self.tag[k] not in ("html", "body"):
+                    if self.tag[k] not in INLINE and self.tag[k] not in ("html", "body"):
                         self._blocks[k] = number
         return self._blocks
 

@@ -51,6 +51,16 @@ def test_repeated_classless_parts_of_an_article_go(spark, monkeypatch, limit):
     assert got == {k: f"Title {k} Own words {k}{' Now and then.' if k < 4 else ''} Item {k} cell {k}" for k in range(10)}
 
 
+def test_classless_blocks_are_told_apart_among_their_siblings(spark):
+    def body(k):
+        own = "".join(f"<div>Own text {k} {n}</div>" for n in range(1 + k % 3))  # so the last one's place differs
+        return f"<html><body><div>Menu</div>{own}<div class=box>Advert</div><div class=box>Told {k}</div><div>Imprint <div>and terms</div></div>"
+
+    rows = [(k, "http://bare.example/", body(k)) for k in range(9)]
+    got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: " ".join([*(f"Own text {k} {n}" for n in range(1 + k % 3)), f"Told {k}"]) for k in range(9)}
+
+
 def test_copies_of_an_article_are_kept(spark):
     rows = [(k, "http://c.net/", page("c.net", k, "<article><h1>Same</h1><p>Same words on every page.</p></article>")) for k in range(8)]
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
