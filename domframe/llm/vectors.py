@@ -23,8 +23,8 @@ from .common import components, cut
 SAMPLE, SAMPLE_LABEL = 20_000, 4000
 #: Numbers that the sample's vectors have in all (32 MB as doubles), which bounds it further for long vectors.
 SAMPLE_NUMBERS = 4_000_000
-#: Vectors of a label for one centre; shards a vector can belong to; vectors of a shard that one task holds.
-PER_CENTRE, OVERLAP, BLOCK = 800, 4, 2000
+#: Vectors of a label for one centre; vectors of a shard that one task holds.
+PER_CENTRE, BLOCK = 800, 2000
 #: Neighbours kept by pruning (per direction), candidates it chooses from, and how much longer a detour must be.
 DEGREE, POOL, ALPHA = 16, 40, 1.2
 #: The search goes on through vectors that are this much less alike than the threshold; steps of its greedy part.
@@ -82,7 +82,10 @@ def centres(vectors: DataFrame) -> dict[tuple, np.ndarray]:
 
 
 def _assigner(table: dict[tuple, np.ndarray], cosine: float):
-    """Rows (shard, own, ...) for each vector: its nearest centre, and others that a linked vector can be nearest to."""
+    """Rows (shard, own, ...) for each vector: its nearest centre, and all lesser ones that a linked vector can be nearest to.
+
+    A pair is compared in the lesser of its two own shards, so no vector is needed in a shard beyond its own.
+    """
     reach = 2 * math.sin(math.acos(cosine) / 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +104,8 @@ def _assigner(table: dict[tuple, np.ndarray], cosine: float):
                     best = like.argmax(axis=1)
                     apart = np.linalg.norm(c[best][:, None, :] - c[None], axis=2)
                     # a vector that links with this one can only be nearest to a centre whose bisecting plane is within reach
-                    near = like.max(axis=1)[:, None] - like <= reach * apart + 1e-9
-                    rank = (-like).argsort(axis=1).argsort(axis=1)
-                    at, shard = np.nonzero(near & (rank < OVERLAP))
+                    near = like.max(axis=1)[:, None] - like <= reach * apart + 1e-6
+                    at, shard = np.nonzero(near & (np.arange(len(c)) <= best[:, None]))
                 taken.append(np.array(rows)[at])
                 shards.append(shard)
                 owns.append(best[at])
@@ -229,8 +231,8 @@ def _searcher(cosine: float):
             medoid = int(inside[(x[inside] @ x[inside].mean(axis=0)).argmax()])
             # one of a pair has its own shard here, so searching from those is enough
             for q, found in range_search(x, links, np.flatnonzero((block == there) & (own == shard)), medoid, cosine - 1e-3):
-                # every pair has one home: the lesser of its two own shards, and the task of its two blocks
-                found = found[(np.minimum(own[found], own[q]) == shard) & ((i == j) | (block[found] != block[q]))]
+                # every pair has one home: the lesser of its two own shards (no vector is in a greater one than its own), and the task of its two blocks
+                found = found[(i == j) | (block[found] != block[q])]
                 codes.append(np.minimum(found, q) * n + np.maximum(found, q))
         pairs = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
         a, b = pairs // n, pairs % n

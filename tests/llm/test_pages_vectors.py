@@ -149,6 +149,23 @@ def test_shards_and_blocks_find_the_links(spark, monkeypatch):
     assert have >= 0.9 * there
 
 
+def planted_pairs(n, dim, seed, cosine=0.981):
+    """n pairs of random unit vectors of one label at the given cosine."""
+    rng = np.random.default_rng(seed)
+    x, side = rng.normal(size=(2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    return [(2 * k + c, v.tolist(), 1) for k in range(n) for c, v in enumerate((x[k], y[k]))]
+
+
+def test_no_link_is_lost_among_many_shards_in_reach(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_CENTRE", 5)
+    rows = planted_pairs(300, 4, 3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute(rows)
+
+
 def test_vectors_without_rows_or_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert vectors.near_duplicates(spark.createDataFrame([], schema)).collect() == []
