@@ -2,8 +2,10 @@
 
 Vectors with the same label are dealt to the clusters whose centres are nearest to them.  Every shard builds a
 graph: each vector's nearest others, robustly pruned, both ways.  The adjacency lists of a vector from all its
-shards are united.  Then each shard searches: from its medoid greedily towards each vector, then on through all
-neighbours within the range, and every pair found is verified in double precision.
+shards are united.  Then each block of a shard searches: from its medoid greedily towards each vector, then on through all
+neighbours within the range.  Some vectors of the block are also compared with all of it; if the search has missed
+a link of theirs, the whole block is compared.  Vectors of two blocks, which no graph connects, are always compared.
+Every pair found is verified in double precision.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ PER_CENTRE, BLOCK = 800, 2000
 DEGREE, POOL, ALPHA = 16, 40, 1.2
 #: The search goes on through vectors that are this much less alike than the threshold; steps of its greedy part.
 SLACK, STEPS = 0.06, 24
+#: Of so many vectors that search in a block, one is compared with the whole block.
+AUDITED = 16
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -184,6 +188,26 @@ def range_search(x: np.ndarray, links: list[np.ndarray], queries: np.ndarray, st
         yield int(q), np.concatenate(found)
 
 
+def exact_search(x: np.ndarray, queries: np.ndarray, others: np.ndarray, low: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query (a place in x) those of the other places whose likeness is low or more, by comparing all."""
+    for at in range(0, len(queries), 512):
+        alike = x[queries[at:at + 512]] @ x[others].T >= low
+        for q, row in zip(queries[at:at + 512].tolist(), alike, strict=True):
+            found = others[row]
+            yield q, found[found != q]
+
+
+def _block_search(x: np.ndarray, links: list[np.ndarray], queries: np.ndarray, low: float) -> list[tuple[int, np.ndarray]]:
+    """range_search in a block, or exact_search if that finds more for some of the queries."""
+    everywhere = np.arange(len(x))
+    medoid = int((x @ x.mean(axis=0)).argmax())
+    met = list(range_search(x, links, queries, medoid, low))
+    for (_, found), (_, there) in zip(met[::AUDITED], exact_search(x, queries[::AUDITED], everywhere, low + 1e-6), strict=True):
+        if not np.isin(there, found).all():
+            return list(exact_search(x, queries, everywhere, low))
+    return met
+
+
 def _tasks(batches: Iterator[pa.RecordBatch], work, columns: list[str], names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
     """work(key, rows) for every run of rows with equal (label, dim, shard, i, j); rows come sorted by these."""
     held, key = [], None
@@ -220,19 +244,15 @@ def _searcher(cosine: float):
         exact = _unit(np.stack(rows["embedding"]).astype(np.float64))
         x, n = exact.astype(np.float32), len(exact)
         place = {rep: k for k, rep in enumerate(rows["rep"])}
-        links = [np.array([place[r] for r in near if r in place], np.int64) for near in rows["near"]]
+        links = [np.array([place[r] for r in near or () if r in place], np.int64) for near in rows["near"]]
         block, own, copies = np.array(rows["block"]), np.array(rows["own"]), np.array(rows["copies"])
         _, _, shard, i, j = key
         codes = []
+        # every pair has one home: the lesser of its two own shards (no vector is in a greater one than its own), and the task of its two blocks;
+        # one of a pair has its own shard here, so searching from those is enough
         for here, there in {(i, j), (j, i)}:
-            inside = np.flatnonzero(block == here)
-            if not len(inside):
-                continue
-            medoid = int(inside[(x[inside] @ x[inside].mean(axis=0)).argmax()])
-            # one of a pair has its own shard here, so searching from those is enough
-            for q, found in range_search(x, links, np.flatnonzero((block == there) & (own == shard)), medoid, cosine - 1e-3):
-                # every pair has one home: the lesser of its two own shards (no vector is in a greater one than its own), and the task of its two blocks
-                found = found[(i == j) | (block[found] != block[q])]
+            asked = np.flatnonzero((block == there) & (own == shard))
+            for q, found in _block_search(x, links, asked, cosine - 1e-3) if i == j else exact_search(x, asked, np.flatnonzero(block == here), cosine - 1e-3):
                 codes.append(np.minimum(found, q) * n + np.maximum(found, q))
         pairs = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
         a, b = pairs // n, pairs % n
@@ -278,7 +298,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     united = near.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = members.join(united, "rep").select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    tasks = paired.select(*keys, "rep", "copies", "own", "block", "near", "embedding").repartition(*keys).sortWithinPartitions(*keys, "rep")
+    lists = F.when(F.col("i") == F.col("j"), F.col("near")).alias("near")  # only searches in one block use them
+    tasks = paired.select(*keys, "rep", "copies", "own", "block", lists, "embedding").repartition(*keys).sortWithinPartitions(*keys, "rep")
     found = cut(tasks.mapInArrow(_searcher(cosine), "rep long, n long, root long"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))

@@ -166,6 +166,19 @@ def test_no_link_is_lost_among_many_shards_in_reach(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_links_between_blocks_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 150)
+    rows = planted_pairs(900, 64, 4)
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").where("true")).collect()
+    assert sum(r["n_links"] != 1 or r["component_id"] != r["vec_id"] // 2 * 2 for r in got) == 0
+
+
+def test_a_block_whose_search_misses_links_is_compared():
+    x = np.repeat(np.eye(40, dtype=np.float32), 2, axis=0)
+    none = [np.zeros(0, np.int64)] * 80  # a graph without edges leads nowhere
+    assert {q: found.tolist() for q, found in vectors._block_search(x, none, np.arange(80), 0.97)} == {q: [q ^ 1] for q in range(80)}
+
+
 def test_vectors_without_rows_or_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert vectors.near_duplicates(spark.createDataFrame([], schema)).collect() == []
