@@ -7,6 +7,7 @@ fewer tokens inside them are pruned.  A url is matched through an index from eac
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -41,11 +42,13 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(scheme, suffixes, segments, asked)), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, least: int = 20) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.0, confidence: float = 0.6, least: int = 20, chance: float = 0.01) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) from (url, blocked): those whose tokens imply a block.
 
     Rows with a null url or label teach nothing.  A rule goes if another one's tokens are a part of its own and
-    its confidence is no higher.  Every labelled row counts; a rule needs the share support of them, and least rows.
+    its confidence is no higher.  Every labelled row counts; a rule needs least blocked rows, however
+    many rows there are (and the share support of them, if given), and to be no chance find: that any of the itemsets
+    looked at has so many blocked rows, if urls didn't matter, must be less likely than chance (Chernoff's bound).
     """
     items = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select(
         F.when(F.col("blocked"), F.concat(tokens_of(F.col("url")), F.array(F.lit(BLOCKED)))).otherwise(tokens_of(F.col("url"))).alias("items"))
@@ -55,6 +58,11 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
         return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=max(support, least / rows), minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0] == BLOCKED).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    # rows with the tokens x divergence of the confidence from the share of blocked rows bounds -log of the probability
+    base = items.where(F.array_contains("items", BLOCKED)).count() / rows
+    c, looked = F.col("confidence"), max(1, model.freqItemsets.count())
+    apart = c * F.log(c / base) + F.when(c < 1, (1 - c) * F.log((1 - c) / (1 - base))).otherwise(0.0) if 0 < base < 1 else F.lit(0.0)
+    rules = rules.where((c > base) & (F.col("support") * rows / c * apart >= math.log(looked / chance)))
     rules = cut(rules.withColumn("rule_id", F.xxhash64("tokens")))
     # A part of a rule with one token left out is itself frequent, so pruning by single removals in turn suffices.
     parts = rules.select("rule_id", F.col("confidence").alias("own"), F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"))

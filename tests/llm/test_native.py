@@ -149,6 +149,12 @@ def test_mined_rules_match_by_their_tokens(spark, monkeypatch):
         assert sorted(got, key=lambda x: (x[0] or 0, x[1])) == want
 
 
+def test_a_small_bad_host_has_a_rule_in_a_large_table(spark):
+    rows = spark.range(20_000).selectExpr("concat('http://', if(id < 30, 'bad', concat('h', id % 50)), '.net/x', id) AS url", "id < 30 OR pmod(xxhash64(id), 10) = 0 AS blocked")
+    found = [set(r["tokens"]) for r in urlfilter.mine(rows).collect()]
+    assert found == [{"h:bad.net"}]
+
+
 def write_and_read(spark, rows, least=0):
     folder = warc.fresh_folder(spark)
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2, "page_id"), folder, least)
