@@ -49,20 +49,20 @@ def windows_of(data: bytes, size: int = WINDOW) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, length: int = SAMPLE_LENGTH) -> list[tuple[str, str]]:
-    """At most rows stretches of texts (lang, text), about evenly by language, of texts chosen by a hash.
+    """At most rows stretches of texts (lang, text), about evenly by language, of distinct texts chosen by a hash.
 
-    A stretch of length code points begins at a hashed place of its text.
-    Languages are counted first; a language of few rows gives all of them.  Null texts and labels are left out.
+    A stretch of length code points begins at a hashed place of its text.  Copies of a text count once.
+    Languages are counted first; a language of few texts gives all of them.  Null texts and labels are left out.
     """
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
+    counts = known.select("lang", F.xxhash64("text")).distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
     if not counts:
         return []
     each = max(1, rows // len(counts))
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * each / r["count"] + 20 / r["count"]))))
     place = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - length))
     drawn = known.select("lang", F.substring("text", place, F.lit(length)).alias("text"), (F.xxhash64(F.col("text"), F.lit(7)) / F.lit(float(2**64)) + 0.5).alias("u"))
-    few = drawn.where(F.col("u") < F.try_element_at(share, F.col("lang"))).orderBy("u", "lang", "text").limit(2 * rows + 40 * len(counts)).collect()
+    few = drawn.where(F.col("u") < F.try_element_at(share, F.col("lang"))).distinct().orderBy("u", "lang", "text").limit(2 * rows + 40 * len(counts)).collect()
     taken: dict[str, int] = {}
     out = []
     for r in few:

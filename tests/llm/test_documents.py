@@ -189,6 +189,13 @@ def test_tabulated_network_equals_convolution():
     assert np.allclose(langid.Scorer(net).windows(x), s / s.sum(axis=1, keepdims=True), atol=1e-4)
 
 
+def test_copies_of_a_text_are_drawn_once(spark):
+    rows = [("aa", "copied text")] * 3000 + [("aa", f"text {k}") for k in range(300)] + [("bb", f"small {k}") for k in range(30)]
+    got = langid.sample(spark.createDataFrame(rows, "lang string, text string"), rows=400)
+    assert len(got) == len(set(got)) and len([1 for lang, _ in got if lang == "bb"]) == 30
+    assert len([1 for lang, _ in got if lang == "aa"]) == 200
+
+
 def test_language_id_without_labels(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert langid.predict(df, langid.learn(df)).first()["lang_pred"] == "und"
