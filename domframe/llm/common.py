@@ -18,16 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: what the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a folder is made here.
+    Only where that is unset and driver and executors are one process (tests), a folder is made here.
     """
     context = spark.sparkContext
     jsc = context._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not jsc.isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="domframe-"))
     return jsc.getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of files that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and stored where every executor can read it; a lost executor loses nothing."""
     shared_folder(df.sparkSession)

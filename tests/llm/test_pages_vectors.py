@@ -134,7 +134,7 @@ def test_links_equal_brute_force(spark):
 
 
 def test_shards_and_blocks_find_the_links(spark, monkeypatch):
-    for name, value in (("PER_CENTRE", 60), ("BLOCK", 40), ("DEGREE", 8)):
+    for name, value in (("BLOCK", 40), ("DEGREE", 8)):
         monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(5)
     ball = rng.normal(size=16)
@@ -160,7 +160,7 @@ def planted_pairs(n, dim, seed, cosine=0.981):
 
 
 def test_no_link_is_lost_among_many_shards_in_reach(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "PER_CENTRE", 5)
+    monkeypatch.setattr(vectors, "BLOCK", 12)
     rows = planted_pairs(300, 4, 3)
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == brute(rows)
@@ -179,6 +179,51 @@ def test_a_block_whose_search_misses_links_is_compared():
     assert {q: found.tolist() for q, found in vectors._block_search(x, none, np.arange(80), 0.97)} == {q: [q ^ 1] for q in range(80)}
 
 
+def test_lengths_of_vectors_do_not_matter(spark):
+    rows = vector_rows(60)
+    sizes = [1e-300, 1e-200, 1.0, 1e200, 1e300]
+    scaled = [(i, [x * sizes[k % 5] for x in v], label) for k, (i, v, label) in enumerate(rows)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(spark.createDataFrame(scaled, "vec_id long, embedding array<double>, label int")).collect()}
+    for i, (n, component, kept) in brute(rows).items():
+        assert got[i] == (n, component, kept)
+
+
+def fast_brute(x, cosine=0.98):
+    """(links of each row, least row it is connected with) by comparing all."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = (np.concatenate(k) for k in zip(*((r + at, c) for at in range(0, len(x), 2000) for r, c in [np.nonzero(x[at:at + 2000] @ x.T >= cosine)]), strict=True))
+    a, b = a[a != b], b[a != b]
+    root = np.arange(len(x))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        least = least[least]
+        if (least == root).all():
+            return np.bincount(a, minlength=len(x)), root
+        root = least
+
+
+def test_a_large_label_with_balls(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    bases = rng.normal(size=(12_000, 32))
+    near = bases[:9000] + rng.normal(size=(9000, 32)) * 0.13 * rng.random((9000, 1))
+    ball = rng.normal(size=32) + rng.normal(size=(4500, 32)) * 0.2
+    tight = rng.normal(size=32) + rng.normal(size=(2500, 32)) * 0.05
+    x = np.concatenate([bases, near, ball, tight]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(vectors, "BLOCK", 2000)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
+    links, root = fast_brute(x.astype(np.float64))
+    assert links.sum() > 2_000_000
+    assert [got[k] for k in range(len(x))] == list(zip(links.tolist(), root.tolist(), strict=True))
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(4, [1.0, 0.0], 1), (4, [0.0, 1.0], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.01], 1), (6, [0.01, 1.0], 1), (7, [1.0, 0.01], 2)]
+    got = sorted(map(tuple, vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()))
+    assert got == [(4, 1, 4, True)] * 3 + [(5, 1, 4, False), (6, 1, 4, False), (7, 1, 4, False)]
+
+
 def test_vectors_without_rows_or_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert vectors.near_duplicates(spark.createDataFrame([], schema)).collect() == []
