@@ -2,9 +2,11 @@
 
 Writing: every record is one line of Spark's text writer whose line separator is the blank lines that end a
 record, so the files go to any file system through Spark's own commit protocol.  Reading: the text source
-splits the files at every "WARC/1.1" line, also at those inside payloads; the byte lengths of the pieces add up to
+splits the files at every "WARC/1.", also at those inside payloads; the byte lengths of the pieces add up to
 offsets, each piece that can be read as a header gives a candidate edge from its offset to the offset after
 its declared length, and only pieces that the chain from the file's start reaches are records.
+
+A record has to fit in a row: 2 GB at most, and in the memory of a task.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import cut, shared_folder
 
 MAGIC, BLANK = "WARC/1.1\r\n", "\r\n\r\n"
+#: What archives are split at: the beginning of MAGIC in all versions.
+SPLIT = "WARC/1."
 #: Up to so many revisits their ids are broadcast (about 20 MB); beyond, pages and revisits are joined by shuffle.
 BROADCAST_REVISITS = 200_000
 
@@ -66,42 +70,48 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, date: str =
     r.withColumn("b", block).select(F.concat(head, "b").alias("value")).write.option("lineSep", BLANK).text(folder)
 
 
-def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """The text between "WARC/1.1" lines, with file, block and place in the block (from a task's row numbers)."""
-    raw = spark.read.option("lineSep", MAGIC).text(folder)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+def pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The text between SPLITs, with file, block and place in the block (from a task's row numbers).
+
+    How files are packed into tasks depends on the cores at hand, and block and place with it.  So the rows stand on
+    one RDD, whose partitions are those of this call: whoever reads them again, or after executors are lost,
+    gets the same pieces under the same names.  Files that end in .gz are read unpacked, each by one task.
+    """
+    raw = spark.read.option("lineSep", SPLIT).text(folder)
+    named = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(named._jdf.queryExecution().toRdd(), named._jdf.schema(), False), spark)
 
 
 def _header(name: str) -> Column:
     return F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
 
 
-def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """A stored row per piece: file, block, place, start, succ and the fields of its header; offsets are in bytes.
+def candidates(found: DataFrame) -> DataFrame:
+    """A stored row per piece of found: file, block, place, start, succ and the fields of its header; offsets are in bytes.
 
     Running sums within a block, then over the blocks of a file, give the offsets.  start is that of the magic;
     the piece before a file's first magic starts below 0.  succ is null where no header can be read.
     """
     head = F.substring_index("value", BLANK, 1)
-    p = _pieces(spark, folder).withColumn("head", head).withColumn("bytes", F.octet_length("value").cast("long"))
+    p = found.withColumn("head", head).withColumn("bytes", F.octet_length("value").cast("long"))
     declared, headed = F.expr("try_cast(regexp_extract(head, '(?im)^Content-Length:[ \\t]*([0-9]+)[ \\t]*\\r?$', 1) AS BIGINT)"), F.octet_length("head") + len(BLANK)
     body = F.substring(F.col("value").cast("binary"), F.col("headed") + 1, F.col("declared").cast("int"))
     whole = F.col("bytes") == F.col("headed") + F.col("declared") + len(BLANK)
-    fields = [F.when(whole, body).alias("body"), _header("WARC-Type").alias("type"), F.regexp_extract("head", "(?im)^WARC-Record-ID:[ \t]*<urn:page:([^>]*)>", 1).alias("id"),
-              F.regexp_extract("head", "(?im)^WARC-Refers-To:[ \t]*<urn:page:([^>]*)>", 1).alias("refers"), _header("WARC-Target-URI").alias("url"), F.regexp_extract("head", "(?im)^WARC-Payload-Digest:[ \t]*sha1:(\\w+)", 1).alias("told")]
-    read = p.withColumn("declared", F.when(F.col("bytes") > F.octet_length("head"), declared)).withColumn("headed", headed).select("file", "block", "place", "bytes", "headed", "declared", *fields)
+    fields = [F.when(whole, body).alias("body"), _header("WARC-Type").alias("type"), F.regexp_extract("head", "(?im)^WARC-Record-ID:[ \t]*<(?:urn:page:)?([^>]*)>", 1).alias("id"),
+              F.regexp_extract("head", "(?im)^WARC-Refers-To:[ \t]*<(?:urn:page:)?([^>]*)>", 1).alias("refers"), _header("WARC-Target-URI").alias("url"), F.regexp_extract("head", "(?im)^WARC-Payload-Digest:[ \t]*sha1:(\\w+)", 1).alias("told")]
+    read = p.withColumn("declared", F.when((F.col("bytes") > F.octet_length("head")) & F.col("head").rlike("^[0-9]+\r\n"), declared)).withColumn("headed", headed).select("file", "block", "place", "bytes", "headed", "declared", *fields)
     light = cut(read.select("file", "block", "place", "bytes", "headed", "declared", "type", "id", "refers", "url", "told", *payload(F.col("body"))))
     inside = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = light.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("_sum")).select("file", "block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
-    at = light.withColumn("_in", F.coalesce(F.sum(F.col("bytes") + len(MAGIC)).over(inside), F.lit(0))).join(blocks, ["file", "block"])
-    start = F.col("_base") + F.col("_in") - len(MAGIC)
-    return cut(at.withColumn("start", start).withColumn("succ", F.col("start") + len(MAGIC) + F.col("headed") + F.col("declared") + len(BLANK)).drop("_base", "_in"))
+    blocks = light.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(SPLIT)).alias("_sum")).select("file", "block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
+    at = light.withColumn("_in", F.coalesce(F.sum(F.col("bytes") + len(SPLIT)).over(inside), F.lit(0))).join(blocks, ["file", "block"])
+    start = F.col("_base") + F.col("_in") - len(SPLIT)
+    return cut(at.withColumn("start", start).withColumn("succ", F.col("start") + len(SPLIT) + F.col("headed") + F.col("declared") + len(BLANK)).drop("_base", "_in"))
 
 
 def payload(body: Column) -> list[Column]:
-    """What a record's block (HTTP header, blank line, payload) tells: lengths and the payload's digest."""
-    split = F.position(F.lit(BLANK).cast("binary"), body)
+    """What a record's block tells, an HTTP header, a blank line and the payload, or a bare payload: lengths and the payload's digest."""
+    split = F.when(F.startswith(body, F.lit("HTTP/").cast("binary")), F.position(F.lit(BLANK).cast("binary"), body)).otherwise(0)
     rest = F.when(split > 0, F.substring(body, split + len(BLANK), F.octet_length(body))).otherwise(body)
     told = F.expr("try_cast(regexp_extract(cast(substring(body, 1, 4096) AS STRING), '(?im)^Content-Length:[ \\t]*([0-9]+)', 1) AS BIGINT)")
     return [F.octet_length(rest).cast("long").alias("payload_bytes"), told.alias("http_length"), payload_digest(rest).alias("digest")]
@@ -138,26 +148,36 @@ def chained(found: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record: file, start, type, id, refers, url, told (its digest line), payload_bytes, http_length, digest.
+    """A row per record: file, start, type, id, refers, url, told (its digest line), payload_bytes, http_length, digest, intact.
 
-    payload_bytes and digest are computed from the bytes read.  A record whose payload holds the magic lies in
-    several pieces; only those pieces are read again and put together in the order of their offsets.
+    payload_bytes and digest are computed from the bytes read; intact tells whether digest is what the record told,
+    and is null for revisits and records that told none.  ids are what stands between < and >, without urn:page:.
+    Archives may be of any version 1.x, and compressed with gzip; offsets are then those of the unpacked file.  A record
+    whose payload holds the magic lies in several pieces; only those pieces are read again and put together in
+    the order of their offsets.  Nothing is read after this has returned.
     """
-    found = candidates(spark, folder)
+    held = pieces(spark, folder)
+    found = candidates(held)
     real = cut(found.join(chained(found), ["file", "start"], "left_semi").where("declared IS NOT NULL"))
-    broken = real.where(F.col("bytes") != F.col("headed") + F.col("declared") + len(BLANK))
-    fields = ["file", "start", "type", "id", "refers", "url", "told", "payload_bytes", "http_length", "digest"]
-    if broken.isEmpty():  # no payload holds the magic: there are no pieces to put together
+    whole = F.col("bytes") == F.col("headed") + F.col("declared") + len(BLANK)
+    intact = F.when((F.col("type") != "revisit") & (F.col("told") != ""), F.upper("told") == F.col("digest")).alias("intact")
+    fields = ["file", "start", "type", "id", "refers", "url", "told", "payload_bytes", "http_length", "digest", intact]
+    broken = real.where(~whole)
+    count = broken.count()
+    if not count:  # no payload holds the magic: there are no pieces to put together
         return real.select(*fields)
     spans = broken.select("file", F.col("start").alias("first"), "succ", F.col("headed").alias("skip"), "declared")
     parts = found.select("file", "block", "place", "start").join(spans, "file").where("start >= first AND start < succ").select("block", "place", *(["file", "first", "start", "skip", "declared"]))
-    texts = _pieces(spark, folder).join(parts, ["file", "block", "place"])
+    texts = held.join(parts, ["file", "block", "place"])
     ordered = F.sort_array(F.collect_list(F.struct("start", F.col("value").cast("binary").alias("value"))))
     joined = texts.groupBy("file", F.col("first").alias("start")).agg(ordered.alias("v"), F.first("skip").alias("skip"), F.first("declared").alias("declared"))
-    glue = F.aggregate("v", F.lit(b""), lambda a, x: F.concat(a, F.when(F.octet_length(a) > 0, F.lit(MAGIC)).otherwise("").cast("binary"), x.value))
-    body = joined.select("file", "start", F.substring(glue, F.col("skip") + 1, F.col("declared").cast("int")).alias("body")).select("file", "start", *payload(F.col("body")))
-    again = real.drop("payload_bytes", "http_length", "digest").join(body, ["file", "start"])
-    return real.where(F.col("bytes") == F.col("headed") + F.col("declared") + len(BLANK)).select(*fields).unionByName(again.select(*fields))
+    glue = F.array_join(F.transform("v", lambda x: F.hex(x.value)), SPLIT.encode().hex())
+    bytes_of = F.substring(F.unhex(glue), F.col("skip") + 1, F.col("declared").cast("int"))
+    body = cut(joined.select("file", "start", "declared", bytes_of.alias("body")).select("file", "start", (F.octet_length("body") == F.col("declared")).alias("full"), *payload(F.col("body"))))
+    if body.where("full").count() != count:
+        raise RuntimeError(f"{count} records hold the magic, but not as many could be put together")
+    again = broken.drop("payload_bytes", "http_length", "digest").join(body, ["file", "start"])
+    return real.where(whole).select(*fields).unionByName(again.select(*fields))
 
 
 def fresh_folder(spark: SparkSession) -> str:
