@@ -1,8 +1,14 @@
 """Mixing, chat formatting, URL filters and WARC: against plain Python, with the cases that tables can bring."""
 
+import gzip
 import hashlib
+import itertools
+import math
+import pathlib
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,7 +144,7 @@ def test_declared_rules(spark):
 def test_mined_rules_match_by_their_tokens(spark, monkeypatch):
     rows = [(f"http://h{k % 5}.net/{'spam' if k % 3 == 0 else 'news'}/x{k}", k % 3 == 0) for k in range(300)] + [(None, True), ("http://q.net/", None)]
     rules = urlfilter.mine(spark.createDataFrame(rows, "url string, blocked boolean"), support=0.05, confidence=0.8)
-    found = [set(r["tokens"]) for r in rules.collect()]
+    found = [set(r["tokens"]) for r in urlfilter.expand(rules).collect()]
     assert {"p:spam"} in found
     assert not any(a < b for a in found for b in found)
     pages = spark.createDataFrame([(1, "http://z.net/spam/1"), (1, "http://z.net/spam/1"), (2, "http://z.net/news"), (None, "http://z.net/a/spam"), (3, None)], "page_id long, url string")
@@ -149,9 +155,82 @@ def test_mined_rules_match_by_their_tokens(spark, monkeypatch):
         assert sorted(got, key=lambda x: (x[0] or 0, x[1])) == want
 
 
+def plain_tokens(url):
+    host, path, _ = plain_rule(url)
+    labels = host.split(".")
+    out = {"s:" + url.split("://", 1)[0]} | {"h:" + ".".join(labels[k:]) for k in range(len(labels))}
+    out |= {"p:" + re.sub("[0-9]+", "#", x) for x in path.split("/") if x}
+    return out | {"q:" + x for x in re.findall("[?&]([^=&#]+)", url)}
+
+
+def brute_rules(rows, confidence, least, chance):
+    """All itemsets by trying them: (rule's tokens, confidence, support) as the docstring of mine says."""
+    sets = [(plain_tokens(u), b) for u, b in rows]
+    n, bad = len(sets), sum(b for _, b in sets)
+    tokens = sorted(set().union(*(t for t, _ in sets)))
+    of = {t: frozenset(k for k, (have, _) in enumerate(sets) if t in have) for t in tokens}
+    hits = lambda ids: sum(sets[k][1] for k in ids)
+    items = {}
+    for t in tokens:
+        if hits(of[t]) >= least and len(of[t]) < n:
+            items.setdefault(of[t], []).append(t)
+    sure = {ids: g for ids, g in items.items() if hits(ids) == len(ids)}
+    rest = [ids for ids in items if ids not in sure]
+    baskets = {k for ids in rest for k in ids}
+    looked, rules = len(sure) + (sum(sets[k][1] for k in baskets) >= least), [((ids,), 1.0, len(ids)) for ids in sure]
+    for size in range(1, len(rest) + 1):
+        for chosen in itertools.combinations(rest, size):
+            ids = frozenset.intersection(*chosen)
+            looked += (len(ids) >= least) + (hits(ids) >= least)
+            if hits(ids) >= least and hits(ids) / len(ids) >= confidence:
+                rules.append((chosen, hits(ids) / len(ids), hits(ids)))
+    base = bad / n
+
+    def passes(c, h):
+        apart = c * math.log(c / base) + ((1 - c) * math.log((1 - c) / (1 - base)) if c < 1 else 0)
+        return c > base and h / c * apart >= math.log(looked / chance)
+
+    rules = [(frozenset(x), c, h) for x, c, h in rules if passes(c, h)]
+    rules = [(x, c, h) for x, c, h in rules if not any(y < x and d >= c for y, d, _ in rules)]
+    return {(frozenset(choice), round(c, 9), round(h / n, 9)) for x, c, h in rules for choice in itertools.product(*(items[ids] for ids in x))}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mined_rules_equal_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(260):
+        a, b, c, d = rng.random(4) < (0.4, 0.5, 0.5, 0.3)
+        url = f"http://{'x.bad' if d else 'y'}.net/{'spam/' if a else ''}{'win/' if b else 'news/'}{rng.integers(0, 99)}" + ("?sid=1&ref=2" if c else "")
+        rows.append((url, bool(rng.random() < 0.1 + 0.5 * (a and b) + 0.25 * (a and c) + 0.3 * d)))
+    got = urlfilter.expand(urlfilter.mine(spark.createDataFrame(rows, "url string, blocked boolean"), confidence=0.5, least=8, chance=0.5)).collect()
+    want = brute_rules(rows, 0.5, 8, 0.5)
+    assert want
+    assert {(frozenset(r["tokens"]), round(r["confidence"], 9), round(r["support"], 9)) for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_urls_that_share_many_parameters(spark):
+    asked = "&".join(f"p{k}=1" for k in range(30))
+    rows = [(f"http://a{k}.net/x?{asked}", k % 8 > 0) for k in range(40)] + [(f"http://b{k}.net/y", False) for k in range(60)]
+    began = time.time()
+    rules = urlfilter.mine(spark.createDataFrame(rows, "url string, blocked boolean"))
+    found = {frozenset(r["tokens"]) for r in urlfilter.expand(rules).collect()}
+    assert time.time() - began < 60
+    assert found == {frozenset([f"q:p{k}"]) for k in range(30)} | {frozenset(["p:x"])}
+    pages = spark.createDataFrame([(1, "http://z.net/?p7=2"), (2, "http://z.net/?p77=2"), (3, f"http://z.net/{'y/' * 100_000}?p3=1")], "page_id long, url string")
+    assert sorted((r["page_id"], r["verdict"]) for r in urlfilter.judge(pages, rules).collect()) == [(1, "block"), (2, "allow"), (3, "block")]
+
+
+def test_no_urls(spark):
+    none = spark.createDataFrame([], "page_id long, url string, mined string")
+    rules = urlfilter.mine(spark.createDataFrame([], "url string, blocked boolean"))
+    assert urlfilter.judge(none, rules).collect() == []
+
+
 def test_a_small_bad_host_has_a_rule_in_a_large_table(spark):
     rows = spark.range(20_000).selectExpr("concat('http://', if(id < 30, 'bad', concat('h', id % 50)), '.net/x', id) AS url", "id < 30 OR pmod(xxhash64(id), 10) = 0 AS blocked")
-    found = [set(r["tokens"]) for r in urlfilter.mine(rows).collect()]
+    found = [set(r["tokens"]) for r in urlfilter.expand(urlfilter.mine(rows)).collect()]
     assert found == [{"h:bad.net"}]
 
 
@@ -195,6 +274,58 @@ def test_many_blocks_and_small_splits(spark):
     assert all(got[k]["payload_bytes"] == len(t) for k, _, t in rows)
 
 
+def test_splits_that_change_between_the_reads_lose_nothing(spark, monkeypatch):
+    rows = [(k, None, (INNER if k % 2 else "") + "t" * 700 + str(k)) for k in range(60)]
+    folder = warc.fresh_folder(spark)
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    chained, old = warc.chained, spark.conf.get("spark.sql.files.openCostInBytes")
+
+    def changed(found):
+        spark.conf.set("spark.sql.files.minPartitionNum", "3")
+        return chained(found)
+
+    monkeypatch.setattr(warc, "chained", changed)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.minPartitionNum", "17")
+        got = {int(r["id"]): r for r in warc.read_warc(spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(got) == list(range(60))
+    assert all(got[k]["payload_bytes"] == len(t) and got[k]["intact"] for k, _, t in rows)
+
+
+def test_other_versions_ids_and_packed_archives(spark, tmp_path):
+    def record(version, kind, name, block):
+        return f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    records = [record("1.0", "warcinfo", "urn:uuid:a", b"software: x\r\n\r\ny"), record("1.0", "response", "urn:uuid:b", b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"), record("1.1", "resource", "urn:page:7", b"WARC/1.0\r\n\r\n" + bytes(range(256)))]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    for end in ("plain.warc", "packed.warc.gz"):
+        assert sorted((r["id"], r["type"], r["payload_bytes"], r["intact"]) for r in got if r["file"].endswith(end)) == [("7", "resource", 268, None), ("urn:uuid:a", "warcinfo", 16, None), ("urn:uuid:b", "response", 5, None)]
+
+
+def test_a_damaged_payload_is_told(spark):
+    got, folder = write_and_read(spark, [(1, None, "x" * 100), (2, None, "y" * 100)])
+    assert all(r["intact"] for r in got.values())
+    path = next(p for p in pathlib.Path(folder.removeprefix("file:")).glob("*.txt") if b"xxx" in p.read_bytes())
+    path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+    path.write_bytes(path.read_bytes().replace(b"xxx", b"xzx", 1))
+    assert {r["id"]: r["intact"] for r in warc.read_warc(spark, folder).collect()} == {"1": False, "2": True}
+
+
+def test_long_payloads_and_clashing_columns(spark):
+    rows = [(1, "u", "WARC/1.1\r\n" * 300_000), (2, "u", "é" * 2_000_000)]
+    folder = warc.fresh_folder(spark)
+    clash = {c: F.lit("clash") for c in ("d", "b", "again", "_id", "_d", "refers_to", "value")}
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(clash), folder)
+    got = {r["id"]: (r["payload_bytes"], r["intact"]) for r in warc.read_warc(spark, folder).collect()}
+    assert got == {"1": (3_000_000, True), "2": (4_000_000, True)}
+
+
 def test_revisits_refer_to_the_least_id(spark):
     rows = [(5, "u", "same"), (3, "u", "same"), (9, "u", "same"), (3, "u", "same"), (None, "u", "same"), (1, "u", "other"), (8, "u", "s"), (7, "u", "s")]
     folder = warc.fresh_folder(spark)
