@@ -1,11 +1,13 @@
 """Main text of web pages by a site style tree.
 
-Pages of a host are merged by the path of their elements (tag, role, classes, id).  For every path the entropy of
-what its elements hold on the host's pages, and of how their children are laid out, says how important the branch
-is: a branch that is the same on every page is template.  Blocks are told apart by what they hold as well, wherever
-they stand among their siblings: one that most of the host's pages have in the same branch is template.  What is
-template goes from each page, after what its tag, role or class says is noise; where a page marks its article, the
-text is taken from there.
+Pages are parsed, and those of a host are merged by the path of their elements (tag, role, classes, id).  For every
+path the entropy of what its elements hold on the host's pages, and of how their children are laid out, says how
+important the branch is: a branch that is the same on every page is template.  Blocks are told apart by what they
+hold as well, wherever they stand among their siblings: one that most of the host's pages have in the same branch is
+template.  Pages with the same text count once, so copies of an article are no template.  Unimportant branches go
+from each page, and with them what the markup itself calls something else than text: menus, forms, scripts and
+the like by their tags and roles, adverts, notices and reader comments, which differ from page to page, by
+a whole name of theirs.  Where a page marks its article, the text is taken from there.
 """
 
 from __future__ import annotations
@@ -13,48 +15,43 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Collection, Iterator
-from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..parser.builder import parse
 from .common import cut
 
 #: Share of the content's importance in that of a branch; the rest is its layout's.
 CONTENT_SHARE = 0.8
-#: Branches below this importance are template, on hosts that show the branch on so many pages at least.
-LOW, LEAST_PAGES = 0.3, 4
-#: A block is template if more than this share of the pages that show its parent's branch have it, and LEAST_PAGES.
+#: Branches below this importance are template.
+LOW = 0.3
+#: A block is template if more than this share of the other pages that show its parent's branch have it.
 MOST = 0.5
-#: Up to so many low branches (or totals of branches) the table of hosts is broadcast (about 20 MB); beyond, it is joined by shuffle.
+#: Pages of full importance that every branch, and pages without it that every block, is credited with: few pages prove little.
+DOUBT = 1
+#: Up to so many branches (or totals of branches) the tree of all hosts is sent to every task (about 20 MB); beyond, it is joined by shuffle.
 BROADCAST_BRANCHES = 500_000
 #: Parts into which the pages of one host are dealt when that table is not broadcast.
 SALTS = 64
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp template svg math object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img input".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
-#: An opening tag ends an open one of these, up to the nearest of the second set.
-IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}),
-           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, {"html"})}
 #: Parts of running text; without class, id or role only what they hold tells them apart, and inline elements are never told apart.
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre tr td th tbody thead tfoot caption figcaption hgroup html body br hr".split())
-NOISE_TAGS = frozenset("head nav footer aside form button select dialog menu noscript template audio video canvas datalist".split()) | RAW
+NOISE_TAGS = frozenset("""head nav footer aside form button select dialog menu audio video canvas datalist
+script style textarea title iframe noembed noframes noscript template svg object""".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Words of names, and words that may stand beside them in a name: comments-area is noise, social-science and with-sidebar are not.
 NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay
 newsletter subscribe subscription social share sharing nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets related recommended
-comment comments commentlist reply replies respond disqus footer foot masthead pagination pager login signup search toolbar skip header topbar""".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-ATTR = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-#: Words of a class about something that stands elsewhere, like with-sidebar.
-ABOUT = re.compile(r"(?i)(?<![a-z0-9])(?:with|has|no|without)[-_][a-z0-9]+")
-CUT = re.compile(r"<[a-zA-Z/!?]")
-HIDDEN = re.compile(r"(?i)(?<![\w-])hidden(?![\w-])")
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+comment comments commentlist reply replies respond disqus footer masthead pagination pager login signup search toolbar topbar""".split())
+BESIDE_WORDS = frozenset("""area bar block body bottom box btn button buttons center col column container content custom desktop element fixed form global group header holder icon icons image
+inner item items label left link links list main mobile outer page panel pane post posts primary region right row secondary section site slot sticky text top unit user view wrap wrapper zone""".split())
+#: Names of headers, where no article is around them.
+HEADERS = frozenset(["header", "site header", "page header", "top header", "main header", "global header", "header wrapper", "header container", "header inner"])
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _IDS: dict[str, int] = {}
-_ENDS: dict[str, re.Pattern] = {}
 
 
 def _number(path: str) -> int:
@@ -70,178 +67,149 @@ def _digest(parts: Collection[str]) -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def names_noise(label: str, in_article: bool) -> bool:
+    """Whether one of the names in a class or id says that an element isn't text."""
+    for name in label.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in BESIDE_WORDS for w in words):
+            return True
+        if not in_article and " ".join(words) in HEADERS:
+            return True
+    return False
+
+
 class Page:
     """Elements in page order with parent, tag and path, and runs of text (element, text); (-1, " ") ends a block."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.noise, self.named, self.main, self.plain, self.runs = [-1], [""], [0], [False], [False], [0], [True], []
-        self._blocks: dict[int, int] | None = None
-        stack, at, here = [0], 0, 0
-        runs, tags = self.runs, self.tag
-        text = lambda a, b: b > a and runs.append((stack[-1], html[a:b]))
-        while (m := TOKEN.search(html, here)) is not None:
-            text(at, m.start())
-            here = at = m.end()
-            close, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not name:
-                continue
-            name = name.lower()
-            if name not in INLINE:
+        self.parent, self.tag, self.path, self.noise, self.main, self.inline, self.plain, self.runs = [-1], [""], [0], [False], [0], [False], [True], []
+        self._held: tuple[dict[int, int], list[bool]] | None = None
+        runs, inside = self.runs, [False]  # of each element: whether an article is around it
+        todo = [(n, 0) for n in reversed(parse(html))]
+        while todo:
+            node, up = todo.pop()
+            if node is None:
                 runs.append((-1, " "))
-            if close:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == name:
-                        del stack[k:]
-                        break
-                    if name in INLINE and tags[stack[k]] not in INLINE:
-                        break  # an inline end tag doesn't end blocks
-                continue
-            if name in CLOSES_P:
-                self._end(stack, {"p"}, {"table", "td", "th", "button", "article", "section", "div", "li", "blockquote"} - {name})
-            elif name in IMPLIED:
-                self._end(stack, *IMPLIED[name])
-            self._open(stack, name, rest)
-            if name in VOID or rest.endswith("/") and name in RAW - {"script", "style", "textarea", "title", "iframe", "noscript", "xmp"}:
-                stack.pop()
-            elif name in RAW:
-                end = _ENDS.get(name) or _ENDS.setdefault(name, re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I))
-                found = end.search(html, here)
-                text(at, found.start() if found else len(html))
-                here = at = found.end() if found else len(html)
-                stack.pop()
-        cut = CUT.search(html, at)  # a tag that the page's end cuts off is no text
-        text(at, cut.start() if cut else len(html))
-
-    def _end(self, stack: list[int], what: Collection[str], until: Collection[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in what:
-                del stack[k:]
-                return
-            if self.tag[stack[k]] in until:
-                return
-
-    def _open(self, stack: list[int], name: str, rest: str) -> None:
-        held = {a.lower(): b or c or d for a, b, c, d in ATTR.findall(rest)} if "=" in rest else {}
-        label = f"{held.get('class', '')} {held.get('id', '')}" if held else " "
-        role = held.get("role", "").lower()
-        words = {w.lower() for w in WORDS.findall(ABOUT.sub("", label))} if label != " " else set()
-        if words and any(self.tag[k] == "article" for k in stack):
-            words -= {"header", "banner"}  # an article's own head holds its title
-        noise = name in NOISE_TAGS or role in NOISE_ROLES or "display:none" in held.get("style", "").replace(" ", "").lower() or "hidden" in rest and HIDDEN.search(re.sub("\"[^\"]*\"|'[^']*'", "", rest)) is not None
-        if name == "header" and not any(self.tag[k] == "article" for k in stack):
-            noise = True
+            elif node.kind == "text":
+                runs.append((up, node.text))
+            elif node.kind == "element":
+                here = self._open(node, up, inside[up])
+                inside.append(inside[up] or node.tag == "article")
+                if not self.inline[here]:
+                    runs.append((-1, " "))
+                    todo.append((None, 0))
+                todo += [(n, here) for n in reversed(node.children)]
+
+    def _open(self, node, up: int, in_article: bool) -> int:
+        name, held = node.tag, node.attrs
+        role = label = ""
+        noise = name in NOISE_TAGS or name == "header" and not in_article
+        if held:
+            label = f"{held.get('class', '')} {held.get('id', '')}".strip()
+            role = held.get("role", "").lower()
+            noise = noise or role in NOISE_ROLES or "hidden" in held or "display:none" in held.get("style", "").replace(" ", "").lower() or bool(label) and names_noise(label, in_article)
         self.main.append(2 if name == "article" else 1 if name == "main" or role == "main" else 0)
-        self.parent.append(stack[-1])
+        self.parent.append(up)
         self.tag.append(name)
-        shape = re.sub(r"[0-9]+", "#", label.strip())
-        self.path.append(_number(f"{self.path[stack[-1]]}>{name}|{role}|{shape}"))
-        own = name not in ("html", "body")
-        self.noise.append(noise and own)
-        self.named.append(own and bool(words) and not NOISE_WORDS.isdisjoint(words))
-        self.plain.append(name in INLINE or name in PLAIN and not (label.strip() or role))
-        stack.append(len(self.tag) - 1)
-
-    def kept(self, low: Collection[int] = (), by_name: bool = True) -> list[bool]:
-        """Which elements' text stays: not noise, not below a branch of low importance, inside the article if there is one.
-
-        by_name also takes elements for noise whose class or id says so.
-        """
-        n, noise = len(self.tag), [a or b for a, b in zip(self.noise, self.named, strict=True)] if by_name else self.noise
+        inline = node.ns == "math" or name in INLINE and node.ns is None  # a formula is a part of its sentence
+        self.inline.append(inline)
+        if inline:
+            self.path.append(self.path[up])
+        else:
+            self.path.append(_number(f"{self.path[up]}>{name}|{role}|{re.sub('[0-9]+', '#', label) if label else ''}"))
+        self.noise.append(noise and name not in ("html", "body"))
+        self.plain.append(inline or name in PLAIN and not (label or role))
+        return len(self.tag) - 1
+
+    def kept(self, low: Collection[int] = ()) -> list[bool]:
+        """Which elements' text stays: not noise, not below a branch of low importance, inside the article if there is one."""
+        n, noise = len(self.tag), self.noise
         holds = [False] * n  # an article or main lies inside
         for k in range(n - 1, 0, -1):
             if self.main[k] and not noise[k] or holds[k]:
                 holds[self.parent[k]] = True
-        blocks = self.blocks() if low else {}
-        stay, inside, article = [True] * n, [0] * n, [-1] * n
+        blocks = self.held()[0] if low else {}
+        stay, inside = [True] * n, [0] * n
         for k in range(1, n):
             up = self.parent[k]
-            article[k] = k if self.main[k] and not noise[k] else article[up]
-            gone = noise[k] and not holds[k]
-            if not gone and (not self.plain[k] and self.path[k] in low or blocks.get(k) in low) and not holds[k] and article[k] != k and self.tag[k] not in ("html", "body"):
-                gone = article[k] < 0 or self.path[article[k]] not in low
-            stay[k] = stay[up] and not gone
-            inside[k] = max(inside[up], self.main[k] if not noise[k] else 0) if stay[k] else 0
+            gone = noise[k] or low and (not self.plain[k] and self.path[k] in low or blocks.get(k) in low) and self.tag[k] not in ("html", "body")
+            stay[k] = stay[up] and not (gone and not holds[k])
+            inside[k] = max(inside[up], 0 if noise[k] else self.main[k]) if stay[k] else 0
         best = max(inside)
         return [s and i == best for s, i in zip(stay, inside, strict=True)] if best else stay
 
     def text(self, low: Collection[int] = ()) -> str:
-        """The main text; if nothing were left of it, low branches stay, then also what only its name calls noise."""
-        for branches, by_name in ((low, True), ((), True), ((), False)) if low else (((), True), ((), False)):
-            stay = self.kept(branches, by_name)
-            whole = "".join(t if k < 0 else unescape(t) if "&" in t else t for k, t in self.runs if k < 0 or stay[k])
-            if out := " ".join(whole.split()):
-                return out
-        return ""
-
-    def branches(self) -> list[tuple[int, int, int]]:
-        """(path, hash of the text in its elements, hash of their children's layout) for each path with text below."""
-        words: dict[int, list[str]] = {}
-        shape: dict[int, list[str]] = {}
-        for k in range(1, len(self.tag)):
-            shape.setdefault(self.path[self.parent[k]], []).append(f"{self.path[k]}")
-        for k, t in self.runs:
-            if k > 0 and (t := t.strip()):
-                while k > 0:
-                    if not (self.noise[k] or self.named[k] or self.plain[k]):
-                        words.setdefault(self.path[k], []).append(t)
-                    k = self.parent[k]
-        return [(p, _digest(x), _digest(shape.get(p, ()))) for p, x in words.items()]
-
-    def blocks(self) -> dict[int, int]:
-        """A number for each block element that has text to keep: of its path and of all it holds, in page order."""
-        if self._blocks is None:
-            self._blocks, stay = {}, self.kept()
+        """The main text; empty if the page has none but template and noise."""
+        stay = self.kept(low) if low else self.held()[1]
+        return " ".join("".join(t for k, t in self.runs if k < 0 or stay[k]).split())
+
+    def held(self) -> tuple[dict[int, int], list[bool]]:
+        """A number for each block element with text to keep, of its path and of all it holds in page order; and kept()."""
+        if self._held is None:
+            stay, numbers = self.kept(), {}
+            owner = [0] * len(self.tag)  # the nearest block around each
+            for k in range(1, len(self.tag)):
+                owner[k] = owner[self.parent[k]] if self.inline[k] else k
             parts: dict[int, list[tuple[int, str]]] = {}
             for at, (k, t) in enumerate(self.runs):
                 if k > 0 and stay[k] and (t := " ".join(t.split())):
-                    parts.setdefault(k, []).append((at, t))
+                    parts.setdefault(owner[k], []).append((at, t))
             for k in range(len(self.tag) - 1, 0, -1):
                 if k in parts:
-                    held = sorted(parts.pop(k))
-                    number = _digest([f"{self.path[k]}", *(t for _, t in held)])
-                    parts.setdefault(self.parent[k], []).append((held[0][0], f"{number}"))
-                    if self.tag[k] not in INLINE and self.tag[k] not in ("html", "body"):
-                        self._blocks[k] = number
-        return self._blocks
-
-    def facts(self) -> Iterator[tuple[int, int, int]]:
-        """(path, kind, what): of branches the content (0) and layout (1); of parents the blocks (2), and that they are there (3)."""
-        for path, content, layout in self.branches():
-            yield from ((path, 0, content), (path, 1, layout))
-        held = {(self.path[self.parent[k]], number) for k, number in self.blocks().items()}
-        yield from ((path, 2, number) for path, number in held)
-        yield from ((path, 3, 0) for path in {path for path, _ in held})
-
-
-def low_branches(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES, most: float = MOST) -> DataFrame:
-    """(host, paths): the branches of low importance and the template blocks of each host, as a list of numbers.
-
-    Importance is CONTENT_SHARE x content + the rest x layout, where each is the entropy over the host's pages that
-    show the branch, as a share of the most it can be: 0 if all pages have the same, 1 if each has its own.
-    A block is template if more than the share most of the host's pages that show its parent's branch have it there;
-    so a host has at most 1 / most times as many of them as a page has blocks.  Pages without url belong to no host.
+                    inner = sorted(parts.pop(k))
+                    numbers[k] = _digest([f"{self.path[k]}", *(t for _, t in inner)])
+                    parts.setdefault(owner[self.parent[k]], []).append((inner[0][0], f"{numbers[k]}"))
+            self._held = numbers, stay
+        return self._held
+
+    def facts(self) -> Iterator[tuple[int, int, int, int]]:
+        """(path, kind, what, the page's text): of branches the content (0) and layout (1); of parents the blocks (2), and that they are there (3)."""
+        whole, numbers = _digest([self.text()]), self.held()[0]
+        words: dict[int, list[str]] = {}
+        shape: dict[int, list[str]] = {}
+        for k in range(1, len(self.tag)):
+            if not self.inline[k]:
+                shape.setdefault(self.path[self.parent[k]], []).append(f"{self.path[k]}")
+                if k in numbers and not self.plain[k]:
+                    words.setdefault(self.path[k], []).append(f"{numbers[k]}")
+        for path, content in words.items():
+            yield from ((path, 0, _digest(content), whole), (path, 1, _digest(shape.get(path, ())), whole))
+        blocks = {(self.path[self.parent[k]], number) for k, number in numbers.items() if self.tag[k] not in ("html", "body")}
+        yield from ((path, 2, number, whole) for path, number in blocks)
+        yield from ((path, 3, 0, whole) for path in {path for path, _ in blocks})
+
+
+def low_branches(pages: DataFrame, low: float = LOW, most: float = MOST) -> DataFrame:
+    """(host, path): the branches of low importance and the template blocks of each host, as numbers.
+
+    A branch's importance is CONTENT_SHARE x content + the rest x layout, where each is the entropy over the host's
+    pages that show the branch, as a share of the most it can be: 0 if all pages have the same, 1 if each has its own.
+    It is averaged with DOUBT pages of importance 1.  A block is template if more than the share most of the host's
+    other pages that show its parent's branch, and DOUBT more, have it there; so a host has at most 1 / most times
+    as many of them as a page has blocks.  Pages with the same main text are one page.  Pages without url belong
+    to no host.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(host, *x) for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in Page(html).facts()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "path", "kind", "what"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "path", "kind", "what", "page"])
 
-    seen = pages.where("html IS NOT NULL AND _host IS NOT NULL").select("_host", "html").mapInArrow(run, "host long, path long, kind int, what long")
-    counts = seen.groupBy("host", "path", "kind", "what").agg(F.count("*").alias("c"))
-    counts = cut(counts.where((F.col("kind") < 2) | (F.col("c") >= least_pages)))  # fewer are never template
+    seen = pages.where("html IS NOT NULL AND _host IS NOT NULL").select("_host", "html").mapInArrow(run, "host long, path long, kind int, what long, page long")
+    counts = cut(seen.distinct().groupBy("host", "path", "kind", "what").agg(F.count("*").alias("c")).where((F.col("kind") != 2) | (F.col("c") > 1)))  # blocks of one page are never template
     spread = counts.where("kind < 2").groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
     weight = F.when(F.col("kind") == 0, CONTENT_SHARE).otherwise(1 - CONTENT_SHARE)
-    rated = spread.groupBy("host", "path").agg(F.sum(weight * entropy).alias("importance"), F.max("m").alias("pages"))
-    branches = rated.where((F.col("importance") < low) & (F.col("pages") >= least_pages)).select("host", "path")
-    shown = counts.where("kind = 3").select("host", "path", F.col("c").alias("pages"))
+    rated = spread.groupBy("host", "path").agg(F.sum(weight * entropy).alias("importance"), F.max("m").alias("m"))
+    branches = rated.where((F.col("importance") * F.col("m") + DOUBT) / (F.col("m") + DOUBT) < low).select("host", "path")
+    shown = counts.where("kind = 3").select("host", "path", F.col("c").alias("m"))
     blocks = counts.where("kind = 2").join(F.broadcast(shown) if shown.count() <= BROADCAST_BRANCHES else shown, ["host", "path"])
-    blocks = blocks.where(F.col("c") > F.col("pages") * most).select("host", F.col("what").alias("path"))
-    return branches.unionByName(blocks).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    blocks = blocks.where(F.col("c") - 1 > (F.col("m") - 1 + DOUBT) * most).select("host", F.col("what").alias("path"))
+    return branches.unionByName(blocks).distinct()
 
 
-def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html); a null html has an empty text.
 
     References are decoded, white space in a block is one space, blocks are joined in page order by one space;
@@ -249,20 +217,26 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES)
     """
     host = F.xxhash64(F.lower(F.nullif(F.regexp_extract("url", "(?s)^.*?://([^/?#]*)", 1), F.lit(""))))
     rows = pages.select("page_id", "url", "html", F.when(F.length(F.regexp_extract("url", "(?s)^.*?://([^/?#]*)", 1)) > 0, host).alias("_host"))
-    table = cut(low_branches(rows, low, least_pages))
-    if (table.agg(F.sum(F.size("paths"))).first()[0] or 0) <= BROADCAST_BRANCHES:
-        joined = rows.join(F.broadcast(table), F.col("_host") == F.col("host"), "left")
+    table = cut(low_branches(rows, low))
+    tree = None
+    if table.count() <= BROADCAST_BRANCHES:
+        of_host: dict[int, set[int]] = {}
+        for r in table.collect():
+            of_host.setdefault(r["host"], set()).add(r["path"])
+        tree = rows.sparkSession.sparkContext.broadcast(of_host)
+        joined = rows.select("page_id", "url", "html", "_host", F.lit(None).cast("array<long>").alias("paths"))
     else:
+        lists = table.groupBy("host").agg(F.collect_list("path").alias("paths"))
         dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)))
-        spread = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = dealt.join(spread, (F.col("_host") == F.col("host")) & (F.col("_salt") == F.col("_part")), "left")
+        spread = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = dealt.join(spread, (F.col("_host") == F.col("host")) & (F.col("_salt") == F.col("_part")), "left").select("page_id", "url", "html", "_host", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 p = b.slice(at, 256)
-                texts = [Page(html).text(frozenset(paths or ())) if html else "" for html, paths in zip(p.column(2).to_pylist(), p.column(3).to_pylist(), strict=True)]
+                texts = [Page(html).text(tree.value.get(name, ()) if tree else frozenset(paths or ())) if html else "" for html, name, paths in zip(*(p.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     out = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return joined.select("page_id", "url", "html", "paths").mapInArrow(run, out)
+    return joined.mapInArrow(run, out)

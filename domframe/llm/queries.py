@@ -6,19 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, extraction, fingerprints, langid, minhash, mixing, pieces, urlfilter, vectors, warc
-from .common import table
+from .common import remove, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def style_tree_unmarked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 on the same pages with nothing that marks the article: a plain div in its place, and names without meaning."""
+    pages = table(spark, sf_dir, "pages")
+    bare = F.regexp_replace(F.regexp_replace("html", "<article>", "<div class=\"q7\">"), "</article>", "</div>")
+    return extraction.extract(pages.withColumn("html", bare))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives say of each page; a record whose payload is not what its digest line says fails the query."""
     folder = warc.fresh_folder(spark)
     warc.write_warc(table(spark, sf_dir, "pages"), folder)
     r = warc.read_warc(spark, folder)
-    return r.select(F.expr("try_cast(id AS BIGINT)").alias("page_id"), F.when(F.col("type") == "revisit", F.col("http_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-                    F.when(F.col("type") == "revisit", F.col("told")).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), F.expr("try_cast(refers AS BIGINT)").alias("refers_to"))
+    remove(spark, folder)
+    again = F.col("type") == "revisit"
+    digest = F.when(again, F.col("told")).when(F.col("intact"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), "id")))
+    return r.select(F.expr("try_cast(id AS BIGINT)").alias("page_id"), F.when(again, F.col("http_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+                    digest.alias("payload_digest"), F.col("type").alias("record_type"), F.expr("try_cast(refers AS BIGINT)").alias("refers_to"))
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +81,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_warc": op2_warc, "op3_embeddings": op3_embeddings, "op4_mixing": op4_mixing, "op5_url_filters": op5_url_filters, "op6_minhash": op6_minhash, "op7_language_id": op7_language_id, "op8_chat": op8_chat, "op9_sentencepiece": op9_sentencepiece,
-           "op10_fingerprints": op10_fingerprints}
+           "op10_fingerprints": op10_fingerprints, "style_tree_unmarked_pages": style_tree_unmarked_pages}
 
 
 def _mixing_sql() -> str:
@@ -155,4 +166,4 @@ def re_escape(text: str) -> str:
     return "".join(f"\\{c}" if c in "[]|" else c for c in text)
 
 
-ORACLES = {"op1_html_extraction": _extraction_sql(), "op3_embeddings": _embeddings_sql(), "op6_minhash": _minhash_sql(), "op2_warc": _warc_sql(), "op4_mixing": _mixing_sql(), "op8_chat": _chat_sql()}
+ORACLES = {"op1_html_extraction": _extraction_sql(), "style_tree_unmarked_pages": _extraction_sql(), "op3_embeddings": _embeddings_sql(), "op6_minhash": _minhash_sql(), "op2_warc": _warc_sql(), "op4_mixing": _mixing_sql(), "op8_chat": _chat_sql()}

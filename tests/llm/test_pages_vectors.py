@@ -61,6 +61,33 @@ def test_classless_blocks_are_told_apart_among_their_siblings(spark):
     assert got == {k: " ".join([*(f"Own text {k} {n}" for n in range(1 + k % 3)), f"Told {k}"]) for k in range(9)}
 
 
+def test_planted_templates_under_random_names(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("bcdfghklmnprstvw"), 6))
+    rows, want = [], {}
+    for h in range(6):
+        names = [word() for _ in range(8)]
+        menu, legal, teaser = " ".join(word() for _ in range(6)), " ".join(word() for _ in range(12)), " ".join(word() for _ in range(5))
+        for k in range(4 + 9 * h):
+            own = [" ".join(word() for _ in range(int(rng.integers(3, 30)))) for _ in range(int(rng.integers(1, 6)))]
+            if k % 4 == 3:  # a copy of the article before, on another address
+                own = last
+            last = own
+            main = "".join(f"<p>{x}</p>" if j % 3 else f"<div class='{names[5]}'>{x}</div>" for j, x in enumerate(own))
+            body = f"<div class={names[0]}><div class={names[1]}>{menu}</div><div class={names[2]}><div class={names[3]}>{main}<p>{teaser}</p></div></div><div class={names[4]}{k}>{legal}</div></div>"
+            rows.append((len(rows), f"https://{names[6]}.example/{k}", f"<html><head><title>T</title></head><body>{body}</body></html>"))
+            want[len(rows) - 1] = " ".join(own)
+    got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_pages_without_url_and_long_pages(spark):
+    long = "<p>" + "word & more " * 400_000
+    rows = [(1, None, "<p>x"), (2, "", "<p>x"), (3, "no address", long), (None, None, "<p>x")]
+    got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("paths", F.lit("clash"))).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 12 * 400_000 - 1)]
+
+
 def test_copies_of_an_article_are_kept(spark):
     rows = [(k, "http://c.net/", page("c.net", k, "<article><h1>Same</h1><p>Same words on every page.</p></article>")) for k in range(8)]
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -87,7 +114,13 @@ def test_scanner_reads_what_tags_hide():
     assert text("one<b>two</b> three<span> four</span>") == "onetwo three four"
     assert text("<p hidden>no<p data-hidden=x>yes") == "yes"
     assert text("<div class='page with-sidebar'><p>in</p><div id=sidebar>out</div></div>") == "in"
-    assert text("<div class='comments'><p>all there is</p></div><footer>f</footer>") == "all there is"
+    assert text("<div class='comments'><p>all there is</p></div><footer>f</footer>") == ""
+    assert text("<div class='cookie-notice'>We use cookies</div><div class=ad>Buy</div>") == ""
+    assert text("<div class='social-science'><h1>On society</h1><p>x</p></div><p>Short line") == "On society x Short line"
+    assert text("<div class='entry-header'><h1>Title</h1></div><p>x") == "Title x"
+    assert text("<article>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, so <svg><text>no</text></svg>be it") == "If x=1, so be it"
+    assert text("<div class='page has-comments no-sidebar'>x<div class='user-comments-list'>y</div><div id='mainNav'>z</div></div>") == "x"
+    assert text("<body><div class='site-header'>S</div><article><div class='header'>H</div>x</article>") == "H x"
     assert text("<article class=post><header class='entry-header'><h1>T</h1></header><p>x</p><div class='share-box'>s</div><aside>a</aside></article>") == "T x"
 
 
