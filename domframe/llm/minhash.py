@@ -3,7 +3,8 @@
 Sketch: in round r < t every shingle falls into a hashed bin with a hashed value above r; in round t + b all
 shingles fall into bin b.  A bin keeps its least value, so bins fill in the earliest round that reaches them and
 every coordinate is filled.  Texts with equal shingle sets are drawn together first; the rest meet in bands of
-coordinates, and the groups that bands connect are verified on their whole sets.
+coordinates.  Texts of a band are compared by all their coordinates, with a margin that leaves no link out; only
+those alike by these form groups, and the groups are verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -21,11 +22,17 @@ from .words import U, distinct, mix, seeds, shingles_of
 
 #: Texts, and shingles, of a block; larger groups are dealt out in blocks, with about so many pivots in each.
 BLOCK_TEXTS, BLOCK_SHINGLES, PIVOTS = 128, 500_000, 8
-#: Up to so many members of candidate groups their ids are broadcast (about 50 MB); beyond, texts are joined by shuffle.
-BROADCAST_MEMBERS = 1_000_000
+#: Sketches of a band that one task compares with each other; of more, blocks are compared with blocks.
+BLOCK_SKETCHES = 2000
+#: The chance that bands, or the comparison of coordinates, miss a pair at the threshold.
+MISS = 1e-6
+#: Parts into which the members of a group are dealt where the table of large groups, or bands, is not broadcast; up to so many rows it is (about 10 MB).
+SALTS, BROADCAST_GROUPS = 64, 200_000
+#: Up to so many members of candidate groups their ids are broadcast (about 20 MB); beyond, texts are joined by shuffle.
+BROADCAST_MEMBERS = 400_000
 #: Rows of an Arrow batch that are Python objects at a time.
 SLICE = 256
-SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, coordinates binary"
 
 
 def sketch(shingles: np.ndarray, t: int, seed: int = 1) -> np.ndarray:
@@ -48,11 +55,21 @@ def sketch(shingles: np.ndarray, t: int, seed: int = 1) -> np.ndarray:
     return bins
 
 
-def rows_per_band(percent: int, t: int, miss: float = 1e-6) -> int:
+def rows_per_band(percent: int, t: int, miss: float = MISS) -> int:
     """The most coordinates a band can have with a pair of that similarity missed more rarely than miss."""
     return max(r for r in range(1, t + 1) if r == 1 or (1 - (percent / 100) ** r) ** (t // r) <= miss)
 
 
+def least_equal(percent: int, t: int, miss: float = MISS) -> int:
+    """So many of t coordinates of a pair of that similarity are equal, but for a chance of miss."""
+    p, below = percent / 100, 0.0
+    for k in range(t):
+        below += math.exp(math.lgamma(t + 1) - math.lgamma(k + 1) - math.lgamma(t - k + 1) + k * math.log(p) + (t - k) * math.log1p(-p)) if p < 1 else 0.0
+        if below > miss:
+            return k
+    return t
+
+
 def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
     count = len(coordinates) // rows
     place = seeds(rows, 3) | U(1)
@@ -68,13 +85,89 @@ def _sketcher(k: int, t: int, rows: int):
                 s = distinct(hashes)
                 m = mix(s ^ U(0x5851F42D4C957F2D))
                 d1, d2 = int(m.sum().astype(np.int64)), int(np.bitwise_xor.reduce(m).astype(np.int64)) if len(m) else 0
-                out.append((len(s), d1, d2, bands(sketch(s, t), rows).astype(np.int64) if len(s) else None))
-            n, d1, d2, b = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(b, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+                made = sketch(s, t) if len(s) else None
+                low = None if made is None else mix(made).astype(np.uint8).tobytes()  # equal coordinates have equal bytes
+                out.append((len(s), d1, d2, None if made is None else bands(made, rows).astype(np.int64), low))
+            n, d1, d2, b, low = zip(*out, strict=True) if out else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(b, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "bands", "coordinates"])
+
+    return run
+
+
+def alike(low: np.ndarray, here: np.ndarray, there: np.ndarray, least: int) -> np.ndarray:
+    """For rows of coordinates' bytes: the first row each is connected with by pairs (one of here, one of there) that have least bytes in common."""
+    a, b = [], []
+    for at in range(0, len(here), 64):
+        equal = (low[here[at:at + 64], None, :] == low[None, there, :]).sum(axis=2, dtype=np.int32) >= least
+        i, j = np.nonzero(equal)
+        a.append(here[at:at + 64][i])
+        b.append(there[j])
+    a, b = np.concatenate(a), np.concatenate(b)
+    root = np.arange(len(low))
+    while True:
+        first = root.copy()
+        np.minimum.at(first, a, root[b])
+        np.minimum.at(first, b, root[a])
+        first = first[first]
+        if (first == root).all():
+            return root
+        root = first
+
+
+def _closer(least: int):
+    """Stars (a, b) of the texts of a task (band, i, j) that are alike by their coordinates; rows come sorted by these."""
+    def stars(key, rows):
+        reps, blocks = np.array([r for r, _, _ in rows]), np.array([k for _, k, _ in rows])
+        low = np.frombuffer(b"".join(x for _, _, x in rows), np.uint8).reshape(len(rows), -1)
+        root = alike(low, np.flatnonzero(blocks == key[1]), np.flatnonzero(blocks == key[2]), least)
+        at = np.flatnonzero(root != np.arange(len(rows)))
+        return zip(reps[at].tolist(), reps[root[at]].tolist(), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+        for batch in batches:
+            for band, i, j, rep, block, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, i, j) != key:
+                    if held:
+                        out.extend(stars(key, held))
+                    key, held = (band, i, j), []
+                held.append((rep, block, low))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if held and (out := list(stars(key, held))):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
+def _by_group(rows: DataFrame, groups: DataFrame, key: str, salt: str) -> DataFrame:
+    """rows left joined with a table of one row per key: broadcast after a count, or else dealt by a salt as well, for keys that very many rows have."""
+    if groups.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), key, "left")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return dealt.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], "left").drop("_salt")
+
+
+def candidate_groups(classes: DataFrame, percent: int, t: int) -> DataFrame:
+    """(id, comp) for the classes (rep, bands, coordinates) that are alike by their coordinates, over any number of steps.
+
+    Bands with the same texts count once.  A band of many texts is compared in pairs of blocks.
+    """
+    banded = classes.select("rep", F.explode("bands").alias("band"))
+    members = F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")
+    shared = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("c"), members).where("hub < last")
+    shared = cut(shared.groupBy("hub", "last", "c", "who").agg(F.min("band").alias("band")).select("band", "hub", "c"))
+    met = cut(banded.join(shared.select("band"), "band").distinct())
+    large = cut(shared.where(F.col("c") > BLOCK_SKETCHES).select("band", F.ceil(F.col("c") / BLOCK_SKETCHES).cast("int").alias("blocks")))
+    # The coordinates travel only with texts that share a band.
+    rows = met.join(classes.select("rep", "coordinates"), "rep")
+    rows = _by_group(rows, large, "band", "rep").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    tasks = rows.select("band", "i", "j", "rep", "block", "coordinates").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
+    return components(tasks.mapInArrow(_closer(least_equal(percent, t)), "a long, b long"))
+
+
 def linked(sets: list[np.ndarray], percent: int) -> list[int]:
     """For sets of sorted distinct hashes: the index of the first set each is connected with by links of that similarity."""
     root = list(range(len(sets)))
@@ -171,9 +264,10 @@ def verified(read: DataFrame, members: DataFrame, words: int, percent: int) -> D
     again in blocks, with every block.
     """
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    sized = members.groupBy("comp").agg(F.count("*").alias("m"), _blocks(F.count("*"), F.sum("n")).alias("blocks"))
-    placed = cut(members.join(sized, "comp").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")))
-    pivot = (F.col("id") == F.col("comp")) | (F.pmod(F.xxhash64("id", F.lit(1)), "m") < PIVOTS)
+    sized = cut(members.groupBy("comp").agg(F.count("*").alias("m"), _blocks(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    placed = cut(_by_group(members, sized, "comp", "id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")))
+    pivot = (F.col("blocks") > 1) & ((F.col("id") == F.col("comp")) | (F.pmod(F.xxhash64("id", F.lit(1)), "m") < PIVOTS))
     first = placed.select("id", "comp", F.explode(F.when(pivot, upto(F.col("blocks"))).otherwise(F.array("own"))).alias("i"), F.lit(-1).alias("j"))
     stars = cut(_stars(read, first, words, percent))
     large = placed.where("blocks > 1")
@@ -181,9 +275,9 @@ def verified(read: DataFrame, members: DataFrame, words: int, percent: int) -> D
         return components(stars)
     parts = cut(large.join(components(stars).withColumnRenamed("comp", "part"), "id", "left").withColumn("part", F.coalesce("part", "id")))
     largest = parts.groupBy("comp", "part").agg(F.count("*").alias("c")).groupBy("comp").agg(F.max_by("part", F.struct("c", "part")).alias("largest"))
-    split = parts.join(largest, "comp").withColumn("outside", F.col("part") != F.col("largest"))
-    outside = split.where("outside").groupBy("comp").agg(_blocks(F.count("*"), F.sum("n")).alias("others"))
-    rest = split.join(outside, "comp").withColumn("other", F.pmod(F.xxhash64("id", F.lit(2)), "others").cast("int"))
+    split = _by_group(parts, cut(largest), "comp", "id").withColumn("outside", F.col("part") != F.col("largest"))
+    outside = cut(split.where("outside").groupBy("comp").agg(_blocks(F.count("*"), F.sum("n")).alias("others")))
+    rest = _by_group(split, outside, "comp", "id").where("others IS NOT NULL").withColumn("other", F.pmod(F.xxhash64("id", F.lit(2)), "others").cast("int"))
     with_all = F.explode(F.transform(upto(F.col("others")), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))).alias("x")
     in_all = F.explode(F.transform(upto(F.col("blocks")), lambda i: F.struct(i.alias("i"), F.col("other").alias("j")))).alias("x")
     second = rest.select("id", "comp", with_all).unionByName(rest.where("outside").select("id", "comp", in_all)).select("id", "comp", "x.i", "x.j").distinct()
@@ -200,10 +294,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, t: int =
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = cut(read.mapInArrow(_sketcher(words, t, rows_per_band(percent, t)), SKETCHES))
     full = sketched.where("n_shingles > 0")
-    classes = cut(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")).where("rep IS NOT NULL"))
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = cut(banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub"))
-    groups = components(banded.join(hubs, "band").select(F.col("rep").alias("a"), F.col("hub").alias("b")), "a", "b")
+    same = F.min_by(F.struct("bands", "coordinates"), "doc_id").alias("s")
+    classes = cut(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), same).where("rep IS NOT NULL").select("d1", "d2", "n_shingles", "rep", "s.bands", "s.coordinates"))
+    groups = candidate_groups(classes, percent, t)
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n_shingles").alias("n"))
     found = verified(read, groups.join(sizes, "id"), words, percent)
     named = cut(classes.select("d1", "d2", "n_shingles", "rep").join(found.select(F.col("id").alias("rep"), "comp"), "rep", "left"))
