@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 LABELS = {
     "utf-8": ("utf-8", "utf8", "unicode-1-1-utf-8"),
     "windows-1252": ("iso-8859-1", "iso8859-1", "iso88591", "latin1", "latin-1", "l1", "ascii", "us-ascii", "cp819", "ibm819", "csisolatin1", "windows-1252", "windows1252", "cp1252", "x-cp1252"),
-    "iso-8859-2": ("iso-8859-2", "iso8859-2", "iso88592", "latin2", "l2", "csisolatin2"),
+    "iso-8859-2": ("iso-8859-2", "iso8859-2", "iso88592", "latin2", "latin-2", "l2", "csisolatin2"),
     "euc-jp": ("euc-jp", "eucjp", "x-euc-jp", "cseucpkdfmtjapanese"),
     "utf-16": ("utf-16", "utf16"),
     "utf-16le": ("utf-16le", "utf16le"),

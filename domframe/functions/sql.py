@@ -1,4 +1,4 @@
-"""SQL functions: a table function for nodes and tokens, and scalar functions over texts and bytes."""
+"""SQL functions: table functions for nodes and tokens, and scalar functions over pages, texts and bytes."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
+from ..plans.schema import NODE_FIELDS
 from .encoding import decode_udf, sniff_udf
 from .entities import unescape
 
@@ -35,6 +36,16 @@ class HtmlParse:
             yield (*r[:9], attrs, r[10])
 
 
+class HtmlNodes:
+    """A row of the node table per node of a text, but for the document's key."""
+
+    def eval(self, html: str, context: str | None = None):
+        from ..parser.builder import parse
+        from ..parser.flatten import rows
+
+        yield from rows(parse(html, context)) if html is not None else ()
+
+
 class HtmlTokens:
     """A row per token of a text."""
 
@@ -47,10 +58,63 @@ class HtmlTokens:
             yield k, kind, t[1] if named else None, t[2] if t[0] == "start" else None, t[3] if t[0] == "start" else None, None if named else t[1]
 
 
+def _found(html: str | None, selector: str | None):
+    """(rows of the page, the rows that selector finds; without selector None for the page itself); None for a null page."""
+    from ..parser.builder import parse
+    from ..parser.flatten import rows
+    from ..plans.match import find
+    from ..plans.selector import compile_selector
+
+    if html is None:
+        return None
+    nodes = rows(parse(html))
+    return nodes, [None] if selector is None else find(nodes, compile_selector(selector))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def query_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    from ..plans.match import to_html
+
+    for pages, selectors in parts:
+        yield pd.Series([None if got is None else [to_html(got[0], r) for r in got[1]] for got in map(_found, pages, selectors)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def text_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    from ..plans.match import text
+
+    for pages, selectors in parts:
+        yield pd.Series([None if got is None else [text(got[0], r) for r in got[1]] for got in map(_found, pages, selectors)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def attr_udf(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    from ..plans.match import attr
+
+    for pages, selectors, names in parts:
+        found = ((got, name) for got, name in zip(map(_found, pages, selectors), names, strict=True))
+        yield pd.Series([None if got is None else [v for r in got[1] if r is not None and (v := attr(r, name)) is not None] for got, name in found], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def to_html_udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    from ..plans.match import to_html
+
+    for pages in parts:
+        yield pages.map(lambda html: to_html(_found(html, None)[0]), na_action="ignore")
+
+
 def register(spark: SparkSession) -> None:
-    """html_parse(html, context) and html_tokens(html) for LATERAL joins; html_unescape(text), html_sniff(bytes, label) and html_decode(bytes, label)."""
-    spark.udtf.register("html_parse", F.udtf(HtmlParse, returnType=NODES))
-    spark.udtf.register("html_tokens", F.udtf(HtmlTokens, returnType=TOKENS))
-    spark.udf.register("html_unescape", unescape_udf)
-    spark.udf.register("html_sniff", sniff_udf)
-    spark.udf.register("html_decode", decode_udf)
+    """Functions for SQL; all take Arrow batches.
+
+    For LATERAL joins: html_nodes(html, context), rows of the node table but for doc_id; html_parse(html, context), its
+    first columns with attributes as a map; html_tokens(html).  Of a page: html_query(html, selector), the HTML of the
+    results; html_text(html, selector), their texts, or with a null selector the page's; html_attr(html, selector,
+    name), the values of those that have the attribute; html_to_html(html).  Null for a null page.  html_unescape(text),
+    html_sniff(bytes, label) and html_decode(bytes, label).
+    """
+    spark.udtf.register("html_nodes", F.udtf(HtmlNodes, returnType=StructType(NODE_FIELDS), useArrow=True))
+    spark.udtf.register("html_parse", F.udtf(HtmlParse, returnType=NODES, useArrow=True))
+    spark.udtf.register("html_tokens", F.udtf(HtmlTokens, returnType=TOKENS, useArrow=True))
+    for name, function in (("query", query_udf), ("text", text_udf), ("attr", attr_udf), ("to_html", to_html_udf), ("unescape", unescape_udf), ("sniff", sniff_udf), ("decode", decode_udf)):
+        spark.udf.register(f"html_{name}", function)

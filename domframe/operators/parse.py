@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,20 +19,27 @@ from ..plans.schema import TOKENS, nodes_schema
 STEP = 64
 
 
-def parse_html(df: DataFrame, key: str = "page_id", html: str = "html", context: str | Column | None = None) -> DataFrame:
+def parse_html(df: DataFrame, key: str = "page_id", html: str = "html", context: str | Column | None = None, columns: Sequence[str] | None = None, tags: Sequence[str] | None = None) -> DataFrame:
     """Node rows of every page: key as doc_id and the columns of NODE_FIELDS.
 
     With context, a tag like "ul" or "svg path" (or a column of such), html is a fragment in that element.  A null
     html has no nodes, as has a null context in a column or a null key; an empty html has html, head and body.  Keys
-    need not be unique for parsing, but queries take rows of the same key as one document.
+    need not be unique for parsing, but queries take rows of the same key as one document.  With columns, only these of
+    NODE_FIELDS are made, and with tags only the rows of such elements, so that no more than needed leaves the pass.
     """
     name = df.schema[key]
-    schema = nodes_schema(T.StructField("doc_id", name.dataType, name.nullable))
+    whole = nodes_schema(T.StructField("doc_id", name.dataType, name.nullable))
+    places = [k for k, f in enumerate(whole.fields) if k == 0 or columns is None or f.name in columns]
+    schema = T.StructType([whole.fields[k] for k in places])
+    if unknown := set(columns or ()) - set(whole.names):
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    hashed = not {"subtree_hash", "canon_parent", "canon_elem"}.isdisjoint(schema.names)
+    wanted, tag_at = None if tags is None else frozenset(tags), whole.names.index("tag") - 1
     target = to_arrow_schema(schema)
     fixed = context if isinstance(context, str) else None
-    columns = [F.col(key).alias("doc_id"), F.col(html).cast("string").alias("html")]
+    read = [F.col(key).alias("doc_id"), F.col(html).cast("string").alias("html")]
     if isinstance(context, Column):
-        columns.append(context.alias("context"))
+        read.append(context.alias("context"))
     by_row = isinstance(context, Column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,10 +48,11 @@ def parse_html(df: DataFrame, key: str = "page_id", html: str = "html", context:
                 part = batch.slice(at, STEP)
                 keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 contexts = part.column(2).to_pylist() if by_row else [fixed] * len(keys)
-                out = [(k, *r) for k, text, c in zip(keys, texts, contexts, strict=True) if text is not None and not (by_row and c is None) for r in rows(parse(text, c))]
+                out = [(k, *r) for k, text, c in zip(keys, texts, contexts, strict=True) if text is not None and not (by_row and c is None) for r in rows(parse(text, c), hashed) if wanted is None or r[tag_at] in wanted]
                 if out:
                     arrays = []
-                    for field, values in zip(target, zip(*out, strict=True), strict=True):
+                    made = list(zip(*out, strict=True))
+                    for field, values in zip(target, (made[k] for k in places), strict=True):
                         if field.name == "attrs":
                             values = [None if v is None else [{"ns": a, "name": b, "value": c} for a, b, c in v] for v in values]
                         elif field.name == "doctype":
@@ -52,7 +60,7 @@ def parse_html(df: DataFrame, key: str = "page_id", html: str = "html", context:
                         arrays.append(pa.array(values, field.type))
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return df.where(F.col(key).isNotNull()).select(*columns).mapInArrow(run, schema)
+    return df.where(F.col(key).isNotNull()).select(*read).mapInArrow(run, schema)
 
 
 def tokenize_html(df: DataFrame, html: str = "html", tokens: str = "tokens", initial_state: str = "data", last_start_tag: str | None = None, xml_violation_mode: bool = False) -> DataFrame:

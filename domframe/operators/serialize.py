@@ -65,3 +65,19 @@ def to_html(nodes: DataFrame, of: DataFrame | None = None, quote_char: str | Non
     made = inside.select("_doc", "_top", events.alias("e"))
     found = made.groupBy(F.col("_doc").alias("doc_id"), F.col("_top").alias("node_id"))
     return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e.s), "").alias("html"))
+
+
+def to_dump(nodes: DataFrame) -> DataFrame:
+    """doc_id and dump: a line for each node, indented by its depth, attributes sorted on lines of their own; the form of golden cases."""
+    pad = F.concat(F.lit("| "), F.repeat(F.lit("  "), F.col("depth")))
+    spaced = lambda ns, name: F.when(ns.isNull() | (ns == name), name).otherwise(F.concat(ns, F.lit(" "), name))
+    name, public, system = (F.coalesce(f"doctype.{c}", F.lit("")) for c in ("name", "public_id", "system_id"))
+    ids = F.when((public == "") & (system == ""), "").otherwise(F.concat(F.lit(' "'), public, F.lit('" "'), system, F.lit('"')))
+    kind = F.col("kind")
+    own = (F.when(kind == "text", F.concat(F.lit('"'), "text", F.lit('"'))).when(kind == "comment", F.concat(F.lit("<!-- "), "text", F.lit(" -->")))
+           .when(kind == "doctype", F.concat(F.lit("<!DOCTYPE "), name, ids, F.lit(">"))).when(kind == "content", "content")
+           .otherwise(F.concat(F.lit("<"), F.coalesce(F.concat("ns", F.lit(" ")), F.lit("")), "tag", F.lit(">"))))
+    attrs = F.array_sort(F.transform(F.coalesce("attrs", F.array().cast(nodes.schema["attrs"].dataType)), lambda a: F.concat(spaced(a.ns, a["name"]), F.lit('="'), a.value, F.lit('"'))))
+    held = F.array_join(F.transform(attrs, lambda a: F.concat(F.lit("\n"), pad, F.lit("  "), a)), "")
+    line = nodes.select("doc_id", "node_id", F.concat(pad, own, held).alias("line"))
+    return line.groupBy("doc_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY node_id)").alias("dump"))

@@ -13,8 +13,8 @@ def attributes(node: Node) -> list[tuple[str | None, str, str]]:
     return sorted(pairs, key=lambda a: (a[0] is None, a[0] or "", a[1].encode("utf-8", "surrogatepass")))
 
 
-def rows(roots: list[Node]) -> list[tuple]:
-    """A tuple in the order of NODE_FIELDS for each node, in page order."""
+def rows(roots: list[Node], hashed: bool = True) -> list[tuple]:
+    """A tuple in the order of NODE_FIELDS for each node, in page order; without hashed, the last three fields are null."""
     order: list[Node] = []
     place: list[list] = []  # parent, depth, child_idx, elem_idx, in_content, in_script, in_style
     todo: list[tuple] = []
@@ -42,24 +42,27 @@ def rows(roots: list[Node]) -> list[tuple]:
     digests: list[bytes] = [b""] * len(order)
     lists = [attributes(n) for n in order]
     for me in range(len(order) - 1, -1, -1):
+        parent = place[me][0]
+        if parent is not None:
+            ends[parent] = max(ends[parent], ends[me])
+        if not hashed:
+            continue
         n = order[me]
         h = hashlib.blake2b(repr((n.kind, n.ns, n.tag, lists[me], n.text)).encode("utf-8", "surrogatepass"), digest_size=16)
         for child in reversed(below[me]):
             h.update(child)
         digests[me] = h.digest()
-        parent = place[me][0]
         if parent is not None:
-            ends[parent] = max(ends[parent], ends[me])
             below[parent].append(digests[me])
         below[me] = []
     first: dict[bytes, int] = {}
-    for me in sorted(range(len(order)), key=lambda k: (-1 if place[k][0] is None else place[k][0], place[k][2])):
+    for me in sorted(range(len(order)) if hashed else (), key=lambda k: (-1 if place[k][0] is None else place[k][0], place[k][2])):
         if not place[me][4] and order[me].kind != "content":
             first.setdefault(digests[me], me)
     out = []
     for me, n in enumerate(order):
         parent, depth, k, element, content, script, style = place[me]
-        canon = place[first.get(digests[me], me)]
+        canon = place[first.get(digests[me], me)] if hashed else None
         out.append((me, parent, ends[me], depth, k, element, n.kind, n.ns, n.tag, lists[me] if n.kind == "element" else None, n.text if n.kind in ("text", "comment") else None,
-                    n.text if n.kind == "doctype" else None, content, script, style, order[parent].tag if parent is not None else None, digests[me].hex(), -1 if canon[0] is None else canon[0], canon[3]))
+                    n.text if n.kind == "doctype" else None, content, script, style, order[parent].tag if parent is not None else None, *((digests[me].hex(), -1 if canon[0] is None else canon[0], canon[3]) if hashed else (None, None, None))))
     return out

@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import case_queries
 from .functions.encoding import decode, sniff_encoding
 from .functions.sql import register, unescape_udf
 from .operators.extract import attribute, children, get_attr, text
@@ -40,6 +41,12 @@ def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STORED[key]
 
 
+def forget_nodes() -> None:
+    """Frees what nodes_of keeps, so that the next query parses again."""
+    while _STORED:
+        _STORED.popitem()[1].unpersist()
+
+
 def _query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -75,7 +82,7 @@ def _id(df: DataFrame, *columns) -> DataFrame:
 
 @_query(f"SELECT page_id, tag, n FROM (SELECT page_id, unnest({[*COUNTED]}) AS tag, unnest([{', '.join(f'CAST(len(regexp_extract_all({BARE}, \'{x}\')) AS BIGINT)' for x in COUNTED.values())}]) AS n FROM pages) WHERE n > 0")
 def parse_tag_counts(spark, sf_dir):
-    found = parse_html(pages_of(spark, sf_dir)).where(F.col("tag").isin(*COUNTED))
+    found = parse_html(pages_of(spark, sf_dir), columns=["tag"], tags=[*COUNTED])
     return _id(found.groupBy("doc_id", "tag").agg(F.count("*").alias("n")), "tag", "n")
 
 
@@ -123,9 +130,11 @@ def query_class(spark, sf_dir):
     return _id(_with_text(nodes, query(nodes, ".ad"), "ad"), "ad")
 
 
-@_query("SELECT page_id, 'x' AS tag FROM pages WHERE regexp_matches(html, ' id=\"x\"')")
+@_query("SELECT page_id, 'article' AS tag FROM pages")
 def query_id(spark, sf_dir):
-    return _id(query(nodes_of(spark, sf_dir), "#x"), "tag")
+    """The pages have no ids, so their articles are given one."""
+    named = pages_of(spark, sf_dir).withColumn("html", F.replace(F.col("html"), F.lit("<article>"), F.lit('<article id="x">')))
+    return _id(query(parse_html(named), "#x"), "tag")
 
 
 @_query("SELECT page_id, 'ad' AS class FROM pages WHERE regexp_matches(html, '<div class=\"ad\">')")
@@ -187,10 +196,11 @@ def children_ul(spark, sf_dir):
     return _id(children(nodes, query(nodes, "ul")).groupBy("doc_id").agg(F.count("*").alias("n")), "n")
 
 
-@_query(f"SELECT page_id, tag FROM (SELECT page_id, unnest(['nav', 'div', 'article', 'footer']) AS tag FROM pages)")
+@_query()
 def children_no_text(spark, sf_dir):
+    """Without SQL: it would have to know where the b that articles leave open is opened again.  tests compare it with the trees."""
     nodes = nodes_of(spark, sf_dir)
-    return _id(children(nodes, query(nodes, "body"), include_text=False).where("tag <> 'b'"), "tag")
+    return _id(children(nodes, query(nodes, "body"), include_text=False), "tag")
 
 
 def _text_query(name: str, selector: str, sql: str, **options) -> None:
@@ -288,3 +298,39 @@ def pages_per_host_rollup(spark, sf_dir):
     langs = _id(query(nodes_of(spark, sf_dir), "html"), get_attr("lang").alias("lang"))
     hosts = pages_of(spark, sf_dir).select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
     return langs.join(hosts, "page_id").rollup("lang", "host").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT page_id, tag, href FROM (SELECT page_id, 'a' AS tag, {HREF} AS href, k FROM {LINKS}) WHERE k = 0")
+def query_one_all_documents(spark, sf_dir):
+    """The first link of each page; pages that have none would have nulls."""
+    return _id(query_one(nodes_of(spark, sf_dir), "nav a", all_documents=True), "tag", get_attr("href").alias("href"))
+
+
+def _sql_function(name: str, call: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        register(spark)
+        pages_of(spark, sf_dir).createOrReplaceTempView("domframe_pages")
+        return spark.sql(f"SELECT page_id, {call} FROM domframe_pages")
+
+    run.__name__ = name
+    _query(sql)(run)
+
+
+_TITLE = _un(_between("<title>", "</title>"))
+_sql_function("sql_html_query", "html_query(html, 'title')[0] AS title", "SELECT page_id, '<title>' || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title>' AS title FROM (SELECT page_id, " + _TITLE + " AS t FROM pages)")
+_sql_function("sql_html_text", "html_text(html, 'title')[0] AS title, html_text(html, NULL)[0] AS page", f"SELECT page_id, {_TITLE} AS title, text AS page FROM pages JOIN (SELECT page_id AS p, text FROM ({ORACLES['text_page'].replace('SELECT page_id,', 'SELECT page_id,', 1)})) ON p = page_id")
+_sql_function("sql_html_attr", "html_attr(html, 'nav a', 'href')[0] AS href, html_attr(html, 'html', 'lang') AS lang", f"SELECT page_id, href, [regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)] AS lang FROM pages JOIN (SELECT page_id AS p, {HREF} AS href, k FROM {LINKS}) ON p = page_id AND k = 0")
+_sql_function("sql_html_to_html", "regexp_extract(html_to_html(html), '(?s)^<!DOCTYPE html><html lang=([^>]*)><head><meta charset=utf-8>', 1) AS lang", "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+
+
+@_query(f"SELECT page_id, href FROM {UNIQUE}")
+def sql_lateral_nodes(spark, sf_dir):
+    """Rows of html_nodes are rows of the node table, so they can be queried."""
+    register(spark)
+    pages_of(spark, sf_dir).createOrReplaceTempView("domframe_pages")
+    nodes = spark.sql("SELECT page_id AS doc_id, n.* FROM domframe_pages, LATERAL html_nodes(html, CAST(NULL AS STRING)) n")
+    return _id(query(nodes, "nav a"), get_attr("href").alias("href"))
+
+
+QUERIES |= case_queries.QUERIES
+ORACLES |= case_queries.ORACLES

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import domframe
+from domframe import cases
 from domframe.functions.encoding import decode_bytes, label, sniff
 from domframe.plans.selector import Attribute, Compound, compile_selector, lex
 
@@ -19,36 +20,7 @@ def found(nodes, selector, **options):
     return [(r["tag"], r["words"]) for r in rows.join(texts, ["doc_id", "node_id"]).orderBy("doc_id", "rank").collect()]
 
 
-QUERIES = [
-    ("<div><p>Hello</p><p>World</p></div>", "p", [("p", "Hello"), ("p", "World")]),
-    ("<div><p class='intro x'>a</p><p class=introx>b</p></div>", ".intro", [("p", "a")]),
-    ("<p class='a\n b\tc'>x</p>", ".a.b.c", [("p", "x")]),
-    ("<p id=q>x</p><p id='q r'>y", "#q", [("p", "x")]),
-    ("<p class=intro id=g>a<p class=intro>b", "p.intro#g", [("p", "a")]),
-    ("<a href=/x>L</a><a name=y>M</a><a href>N", "[href]", [("a", "L"), ("a", "N")]),
-    ("<input type=text><input type=password>", "[type=text]", [("input", "")]),
-    ("<a href='https://a'>S</a><a href='http://b'>I</a>", "[href^=https]", [("a", "S")]),
-    ("<a href='d.pdf'>P</a><a href='d.txt'>T</a>", "[href$='.pdf']", [("a", "P")]),
-    ("<a href='/ex/1'>E</a><a href='/y'>T</a>", "a[href*='ex/']", [("a", "E")]),
-    ("<a href=x>E</a><a>T</a>", "[href^='']", [("a", "E")]),
-    ("<div><p>P</p><span>S</span><a>A</a></div>", "a, p", [("a", "A"), ("p", "P")]),
-    ("<div><p>P", "p,", [("p", "P")]),
-    ("<div><p>P", "", []),
-    ("<ul><li>A<li>A<li>B</ul>", "li", [("li", "A"), ("li", "B")]),
-    ("<div><p>D</p><span><p>N</p></span></div>", "div > p", [("p", "D")]),
-    ("<div><div><p>x</p></div><p>y</p></div>", "div > p", [("p", "y"), ("p", "x")]),
-    ("<div><div><p>x</p></div><p>y</p></div>", "div p", [("p", "x"), ("p", "y")]),
-    ("<h1>t</h1>text<!--c--><p>a</p><p>b</p>", "h1 + p", [("p", "a")]),
-    ("<h1>t</h1><p>a</p><div>d</div><p>b</p>", "h1 ~ p", [("p", "a"), ("p", "b")]),
-    ("<nav><ul><li><a href=/>x</a></ul></nav>", "nav  ul>li   a[href]", [("a", "x")]),
-    ("<p>x</p>", "body >", [("p", "x")]),
-    ("<p>x</p>", "> p", [("p", "x")]),
-    ("<div><b><i>x</i></b></div>", "div > > i", [("i", "x")]),
-    ("<p>x</p><template><p>y</p></template>", "p", [("p", "x")]),
-    ("<p>x</p>", "P", []),
-    ("<svg><a>x</a></svg><a>y</a>", "a", [("a", "x"), ("a", "y")]),
-    ("<i>1</i><b>2</b><div><i>1</i><u>3</u></div>", "div > i + *", [("b", "2")]),
-]
+QUERIES = cases.SELECTORS
 
 
 @pytest.fixture(scope="module")
@@ -102,14 +74,9 @@ def test_selector_parts():
     assert [k for k, _ in lex("a > b[c^='d']")] == ["ident", "whitespace", "child", "whitespace", "ident", "[", "ident", "prefix", "string", "]"]
 
 
-TEXT_PAGE = "<title>T</title><body>a<script>s1</script><style>s2</style><!--c--><p> b <i>c</i></p><svg><style>d</style></svg><input value=v><textarea>w</textarea><template>no</template>\xa0"
-
-
-@pytest.mark.parametrize(("options", "want"), [
-    ({}, "a b cdw\xa0"), ({"separator": "|"}, "a| b |c|d|w|\xa0"), ({"separator": "|", "strip": True}, "a|b|c|d|w"), ({"include_script": True, "include_style": True}, "as1s2 b cdw\xa0"),
-    ({"include_inputs": True, "separator": "-", "strip": True}, "a-b-c-d-v-w"), ({"deep": False}, "a\xa0"), ({"separator": "'\\\n", "strip": True}, "a'\\\nb'\\\nc'\\\nd'\\\nw")])
+@pytest.mark.parametrize(("options", "want"), cases.TEXTS)
 def test_text(spark, options, want):
-    nodes = nodes_of(spark, TEXT_PAGE)
+    nodes = nodes_of(spark, cases.TEXT_PAGE)
     assert domframe.text(nodes, domframe.query(nodes, "body"), **options).first()["text"] == want
 
 
@@ -130,24 +97,12 @@ def test_children_and_attributes(spark):
     assert nodes.where("kind = 'text'").select(domframe.get_attr("id").alias("v")).where("v IS NOT NULL").count() == 0
 
 
-FORMS = [
-    ("<p>a<span>b</span>c</p>", {}, "<p>a<span>b</span>c</p>"), ("<br><img src=a.png>", {}, "<br><img src=a.png>"), ("<br>", {"use_trailing_solidus": True}, "<br />"),
-    ("<p title='foo bar'></p>", {}, '<p title="foo bar"></p>'), ("<p title=\"it's x\"></p>", {}, "<p title=\"it's x\"></p>"), ("<p title='a \"q\"'></p>", {}, "<p title='a \"q\"'></p>"),
-    ("<p title='a&b'></p>", {}, "<p title=a&b></p>"), ("<p title='a & b'></p>", {}, '<p title="a &amp; b"></p>'), ("<p title='\"&#39; x'></p>", {}, "<p title=\"&quot;' x\"></p>"),
-    ("<input checked value=''>", {}, "<input checked value>"), ("<input checked=checked>", {}, "<input checked>"), ("<input checked value=''>", {"minimize_boolean_attributes": False}, '<input checked="" value="">'),
-    ("<p a=b></p>", {"quote_char": "'"}, "<p a='b'></p>"), ("<p a=b></p>", {"quote_char": '"'}, '<p a="b"></p>'), ("<p a='x <'></p>", {"escape_lt_in_attrs": True}, '<p a="x &lt;"></p>'),
-    ("a&lt;b&amp;&gt;\xa0", {}, "a&lt;b&amp;&gt;\xa0"), ("<script>a<b</script><style>&</style>", {}, "<script>a<b</script><style>&</style>"), ("<script>a<b</script>", {"escape_rcdata": True}, "<script>a&lt;b</script>"),
-    ("<!-- c -->", {}, "<!-- c -->"), ("<p>a \n\t b</p><pre>a\n  b</pre>", {"strip_whitespace": True}, "<p>a b</p><pre>a\n  b</pre>"), ("<template><p>x</template>", {}, "<template><p>x</p></template>"),
-    ("<svg viewBox=1 xlink:href=u><path/></svg>", {}, "<svg xlink:href=u viewBox=1><path></path></svg>"), ("<textarea><b></textarea>", {}, "<textarea>&lt;b&gt;</textarea>"),
-]
-
-
-@pytest.mark.parametrize(("html", "options", "want"), FORMS)
+@pytest.mark.parametrize(("html", "options", "want"), cases.FORMS)
 def test_serializer(spark, html, options, want):
     assert domframe.to_html(nodes_of(spark, html, context="div"), **options).first()["html"] == want
 
 
-@pytest.mark.parametrize("doctype", ["<!DOCTYPE html>", '<!DOCTYPE html SYSTEM "x">', '<!DOCTYPE html PUBLIC "p">', '<!DOCTYPE html PUBLIC "p" "s">'])
+@pytest.mark.parametrize("doctype", cases.DOCTYPES)
 def test_doctypes(spark, doctype):
     assert domframe.to_html(nodes_of(spark, doctype)).first()["html"] == doctype + "<html><head></head><body></body></html>"
 
@@ -159,12 +114,7 @@ def test_serialized_pages_parse_to_themselves(spark):
     assert once.join(twice, "doc_id").where("html <> again").count() == 0
 
 
-@pytest.mark.parametrize(("data", "transport", "want"), [
-    (b"<p>", None, "windows-1252"), (b"\xef\xbb\xbf<p>", None, "utf-8"), (b"\xff\xfe<\0", None, "utf-16le"), (b"\xfe\xff\0<", None, "utf-16be"), (b"<meta charset=utf-8>", None, "utf-8"), (b"<META CHARSET='Latin2'/>", None, "iso-8859-2"),
-    (b"<meta charset=utf-16>", None, "utf-8"), (b"<meta charset=nope><meta charset=euc-jp>", None, "euc-jp"), (b"<meta http-equiv=Content-Type content='text/html; charset=utf8'>", None, "utf-8"),
-    (b"<meta content='text/html; charset=utf8'>", None, "windows-1252"), (b"<!-- <meta charset=utf-8> --><meta charset=l2>", None, "iso-8859-2"), (b"<a title='<meta charset=utf-8>'>", None, "windows-1252"),
-    (b"<meta charset=utf-8", None, "windows-1252"), (b"x" * 1100 + b"<meta charset=utf-8>", None, "windows-1252"), (b"<!--" + b"x" * 3000 + b"--><meta charset=utf-8>", None, "utf-8"),
-    (b"\xef\xbb\xbf", "euc-jp", "euc-jp"), (b"<meta charset=utf-8>", "nope", "utf-8"), (b"<meta charset=utf-8 charset=l2>", None, "utf-8"), (b"", None, "windows-1252")])
+@pytest.mark.parametrize(("data", "transport", "want"), cases.ENCODINGS)
 def test_encodings(data, transport, want):
     assert sniff(data, transport) == want
 
@@ -188,6 +138,50 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT count(*) AS n FROM html_parse(CAST(NULL AS STRING), 'div')").first()["n"] == 0
 
 
+def test_functions_of_a_page_equal_the_plans(spark):
+    """The same selectors, texts and HTML in Python, next to the parse."""
+    from domframe.parser.builder import parse
+    from domframe.parser.flatten import rows
+    from domframe.plans import match
+
+    for page, selector, want in cases.SELECTORS:
+        r = rows(parse(page))
+        assert [(x[8], match.text(r, x)) for x in match.find(r, compile_selector(selector))] == want, (page, selector)
+    for html, options, want in cases.FORMS:
+        if not options:
+            assert match.to_html(rows(parse(html, "div"))) == want
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(20)
+    whole = {r["doc_id"]: r["html"] for r in domframe.to_html(domframe.parse_html(pages)).collect()}
+    assert {r["page_id"]: match.to_html(rows(parse(r["html"]))) for r in pages.collect()} == whole
+
+
+def test_sql_functions_of_a_page(spark):
+    domframe.register(spark)
+    page = "<p class=a>x<i>y</i></p><p>z</p>"
+    r = spark.sql(f"SELECT html_query('{page}', 'p') AS q, html_text('{page}', 'p') AS t, html_text('{page}', NULL) AS w, html_attr('{page}', 'p', 'class') AS a, html_to_html('{page}') AS h, html_query(NULL, 'p') AS n").first()
+    assert tuple(r) == (["<p class=a>x<i>y</i></p>", "<p>z</p>"], ["xy", "z"], ["xyz"], ["a"], "<html><head></head><body><p class=a>x<i>y</i></p><p>z</p></body></html>", None)
+
+
+def test_a_parse_of_some_columns_and_tags(spark):
+    df = spark.createDataFrame([(1, "<p a=b>x<i>y"), (2, None)], "page_id long, html string")
+    assert sorted(map(tuple, domframe.parse_html(df, columns=["tag", "node_id"], tags=["p", "i"]).collect())) == [(1, 3, "p"), (1, 5, "i")]
+    with pytest.raises(ValueError):
+        domframe.parse_html(df, columns=["nothing"])
+
+
+def test_children_of_bodies_are_those_of_the_trees(spark):
+    from domframe.parser.builder import parse
+    from domframe.queries import QUERIES as registered
+
+    pages, want = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect(), []
+    for r in pages:
+        root = next(n for n in parse(r["html"]) if n.kind == "element")
+        body = next(n for n in root.children if n.tag == "body")
+        want += [(r["page_id"], n.tag) for n in body.children if n.kind == "element"]
+    got = registered["children_no_text"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_tokens_table(spark):
     df = spark.createDataFrame([(1, "<!DOCTYPE a><p b=c>x</p><!--y-->"), (2, None)], "k long, html string")
     got = {r["k"]: r["tokens"] for r in domframe.tokenize_html(df).collect()}

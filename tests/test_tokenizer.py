@@ -2,56 +2,17 @@
 
 import pytest
 
+from domframe import cases
 from domframe.functions.entities import lookup, numeric, unescape
 from domframe.parser.tokenizer import tokenize
 
 
-def start(name, attrs=None, closing=False):
-    return ("start", name, attrs or {}, closing)
-
-
-CASES = [
-    ("<p>Hello</p>", [start("p"), ("chars", "Hello"), ("end", "p")]),
-    ("<!DOCTYPE html>", [("doctype", "html", None, None, False)]),
-    ("<!doctype HTML PUBLIC '-//x' \"sys\">", [("doctype", "html", "-//x", "sys", False)]),
-    ("<!DOCTYPE html SYSTEM 'about:legacy-compat'>", [("doctype", "html", None, "about:legacy-compat", False)]),
-    ("<!DOCTYPE>", [("doctype", None, None, None, True)]),
-    ("<!DOCTYPE html PUBLIC>x", [("doctype", "html", None, None, True), ("chars", "x")]),
-    ("<!DOCTYPE html PUBLIC 'a>x", [("doctype", "html", "a", None, True), ("chars", "x")]),
-    ("<!DOCTYPE html bogus>", [("doctype", "html", None, None, True)]),
-    ("<!DOCTYPE html", [("doctype", "html", None, None, True)]),
-    ('<div class="foo" id=bar>', [start("div", {"class": "foo", "id": "bar"})]),
-    ("<a href='x'disabled A=1 a=2>", [start("a", {"href": "x", "disabled": "", "a": "1"})]),
-    ("<br/><br / x>", [start("br", closing=True), start("br", {"x": ""})]),
-    ("<a =b=c d=>", [start("a", {"=b": "c", "d": ""})]),
-    ("<DIV A=B>", [start("div", {"a": "B"})]),
-    ("<a\0b c\0='\0'>", [start("a�b", {"c�": "�"})]),
-    ("x<p", [("chars", "x")]), ("<p a='", []), ("</p", []), ("<", [("chars", "<")]), ("</", [("chars", "</")]), ("</>x", [("chars", "x")]), ("a < b", [("chars", "a < b")]),
-    ("</ x>", [("comment", " x")]), ("<?php ?>", [("comment", "?php ?")]), ("<!x>", [("comment", "x")]), ("<![CDATA[x]]>", [("comment", "[CDATA[x]]")]),
-    ("<!-- hello -->", [("comment", " hello ")]), ("<!-->x", [("comment", ""), ("chars", "x")]), ("<!--->x", [("comment", ""), ("chars", "x")]), ("<!---->", [("comment", "")]),
-    ("<!--a--!>b", [("comment", "a"), ("chars", "b")]), ("<!--a--!b-->", [("comment", "a--!b")]), ("<!--a--->", [("comment", "a-")]), ("<!-- <!-- x -->", [("comment", " <!-- x ")]),
-    ("<!--a-", [("comment", "a")]), ("<!--a--", [("comment", "a")]), ("<!--a--!", [("comment", "a")]), ("<!--a", [("comment", "a")]), ("<!--\0-->", [("comment", "�")]),
-    ("a\r\nb\rc", [("chars", "a\nb\nc")]), ("\0", [("chars", "\0")]),
-    ("<title>&lt;<b>&#65;</TITLE >x", [start("title"), ("chars", "<<b>A"), ("end", "title"), ("chars", "x")]),
-    ("<style>&lt;</b></styles></style>", [start("style"), ("chars", "&lt;</b></styles>"), ("end", "style")]),
-    ("<script>a<!--<script>b</script>c--></script>d", [start("script"), ("chars", "a<!--<script>b</script>c-->"), ("end", "script"), ("chars", "d")]),
-    ("<script><!--></script>x", [start("script"), ("chars", "<!-->"), ("end", "script"), ("chars", "x")]),
-    ("<script><!--<script></script>", [start("script"), ("chars", "<!--<script></script>")]),
-    ("<script></scripty></script\t>", [start("script"), ("chars", "</scripty>"), ("end", "script")]),
-    ("<plaintext></plaintext>&amp;", [start("plaintext"), ("chars", "</plaintext>&amp;")]),
-    ("<textarea><p></textarea>", [start("textarea"), ("chars", "<p>"), ("end", "textarea")]),
-    ("<script/>x<b>", [start("script", closing=True), ("chars", "x"), start("b")]),
-]
-
-
-@pytest.mark.parametrize(("html", "want"), CASES)
+@pytest.mark.parametrize(("html", "want"), cases.TOKENS)
 def test_tokens(html, want):
     assert tokenize(html) == want
 
 
-@pytest.mark.parametrize(("state", "html", "want"), [
-    ("rcdata", "&amp;</b></title>", [("chars", "&</b>"), ("end", "title")]), ("rawtext", "&amp;\0</title>", [("chars", "&amp;�"), ("end", "title")]),
-    ("plaintext", "</title>\0", [("chars", "</title>�")]), ("cdata_section", "a]]>b\0", [("chars", "ab\0")]), ("script_data", "<!-- </title>", [("chars", "<!-- </title>")])])
+@pytest.mark.parametrize(("state", "html", "want"), cases.STATES)
 def test_initial_states(state, html, want):
     assert tokenize(html, state, "title") == want
 
@@ -60,14 +21,12 @@ def test_xml_violation_mode():
     assert tokenize("a\uffff\fb<!--x--y-->", xml_violation_mode=True) == [("chars", "a\ufffd b"), ("comment", "x- -y")]
 
 
-@pytest.mark.parametrize(("text", "want"), [
-    ("&amp;&lt;&copy;", "&<©"), ("&amp", "&"), ("&notit;", "¬it;"), ("&notin;", "∉"), ("&nosuch;", "&nosuch;"), ("& &&x;", "& &&x;"), ("&#65;&#x41;&#X41", "AAA"), ("&#0;&#xD800;&#x110000;&#99999999999;", "����"),
-    ("&#x80;&#150;&#x81;", "€–\x81"), ("&#;&#x;&#xg", "&#;&#x;&#xg"), ("&NotEqualTilde;", "≂̸")])
+@pytest.mark.parametrize(("text", "want"), cases.REFERENCES)
 def test_references_in_text(text, want):
     assert unescape(text) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("&not=x", "&not=x"), ("&notit;", "&notit;"), ("&not", "¬"), ("&not;=", "¬="), ("&copy&copy", "©©"), ("?a=b&lang=c&copy_x", "?a=b&lang=c©_x"), ("&amp;x", "&x")])
+@pytest.mark.parametrize(("text", "want"), cases.ATTRIBUTE_REFERENCES)
 def test_references_in_attributes(text, want):
     assert unescape(text, True) == want
 

@@ -4,126 +4,18 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from domframe import cases
+from domframe.case_queries import TREES
 from domframe.parser.builder import parse
 from domframe.parser.dump import dump
 from domframe.parser.flatten import rows
 
-#: (html, the dump of what body holds), one line a node, indentation in single blanks.
-BODIES = [
-    ("<p>One<p>Two", 'p/ "One"/p/ "Two"'),
-    ("<a><p>x</a>y</p>", 'a/p/ a/  "x"/ "y"'),
-    ("<b><i>1</b>2</i>", 'b/ i/  "1"/i/ "2"'),
-    ("<p><b><i><u>a<p>b", 'p/ b/  i/   u/    "a"/p/ b/  i/   u/    "b"'),
-    ("<b><b><b><b>x<p>y", 'b/ b/  b/   b/    "x"/    p/     "y"'),
-    ("<b>1<p>2</b>3</p>", 'b/ "1"/p/ b/  "2"/ "3"'),
-    ("<a>1<div>2<div>3</a>4</div>5</div>", 'a/ "1"/div/ a/  "2"/ div/  a/   "3"/  "4"/ "5"'),
-    ("<a>1<a>2", 'a/ "1"/a/ "2"'),
-    ("<nobr>1<nobr>2", 'nobr/ "1"/nobr/ "2"'),
-    ("<button>1<button>2", 'button/ "1"/button/ "2"'),
-    ("<h1>a<h2>b</h1>c", 'h1/ "a"/h2/ "b"/"c"'),
-    ("<li>1<li>2<ul><li>3</ul>", 'li/ "1"/li/ "2"/ ul/  li/   "3"'),
-    ("<dl><dt>a<dd>b<dt>c</dl>", 'dl/ dt/  "a"/ dd/  "b"/ dt/  "c"'),
-    ("</p>x</br></p>", '"x"/br/p'),
-    ("<pre>\na</pre><textarea>\nb</textarea><listing>\nc", 'pre/ "a"/textarea/ "b"/listing/ "c"'),
-    ("<form><form>x</form>y</form>z", 'form/ "x"/"yz"'),
-    ("<image src=x>", 'img/ @src="x"'),
-    ("<ruby>a<rt>b<rp>c</ruby>", 'ruby/ "a"/ rt/  "b"/ rp/  "c"'),
-    ("<object><b>x</object>y", 'object/ b/  "x"/"y"'),
-    ("<marquee><p>x</marquee>y", 'marquee/ p/  "x"/"y"'),
-    ("<select><option>a<option>b<optgroup><option>c</select>d", 'select/ option/  "a"/ option/  "b"/ optgroup/  option/   "c"/"d"'),
-    ("<select><div>x</div><b>y</select>z", 'select/ div/  "x"/ b/  "y"/b/ "z"'),
-    ("<select><option>a<select>b", 'select/ option/  "a"/"b"'),
-    ("<select><option>a<input>", 'select/ option/  "a"/input'),
-    ("<select><button><selectedcontent></button><option>a<option selected>b", 'select/ button/  selectedcontent/   "b"/ option/  "a"/ option/  @selected=""/  "b"'),
-    ("<table>a<tr><td>b</table>c", '"a"/table/ tbody/  tr/   td/    "b"/"c"'),
-    ("<table><b>x<tr><td>y</table>", 'b/ "x"/table/ tbody/  tr/   td/    "y"'),
-    ("<table><caption>a<col><tfoot><th>h", 'table/ caption/  "a"/ colgroup/  col/ tfoot/  tr/   th/    "h"'),
-    ("<table><tr><td>1<tr><td>2<tbody><tr>", 'table/ tbody/  tr/   td/    "1"/  tr/   td/    "2"/ tbody/  tr'),
-    ("<table><tr><td><table><td>x</table>y", 'table/ tbody/  tr/   td/    table/     tbody/      tr/       td/        "x"/    "y"'),
-    ("<table><input type=hidden><input>", 'input/table/ input/  @type="hidden"'),
-    ("<table><form><tr></table>", 'table/ form/ tbody/  tr'),
-    ("<table> <tr> <td></table>", 'table/ " "/ tbody/  tr/   " "/   td'),
-    ("<table><colgroup> x", '"x"/table/ colgroup/  " "'),
-    ("<table><select><tr><td>a", 'select/table/ tbody/  tr/   td/    "a"'),
-    ("<table><td></tr></body></caption>x", '"x"/table/ tbody/  tr/   td'),
-    ("<p><table>x", 'p/ "x"/ table'),
-    ("<svg viewbox=1 xlink:href=u><path/><foreignobject><p>x</p></foreignobject></svg>y", 'svg svg/ @viewBox="1"/ @xlink href="u"/ svg path/ svg foreignObject/  p/   "x"/"y"'),
-    ("<svg><foreignobject><p>x</foreignobject>y</svg>z", 'svg svg/ svg foreignObject/  p/   "xy"/"z"'),
-    ("<p><script/>x<b>y</script>z", 'p/ script/  "xy"/ "z"'),
-    ("<svg><p>x", 'svg svg/p/ "x"'),
-    ("<svg><font>a<font color=x>b", 'svg svg/ svg font/  "a"/font/ @color="x"/ "b"'),
-    ("<svg><![CDATA[a<b]]></svg><![CDATA[c]]>", 'svg svg/ "a<b"/<!-- [CDATA[c]] -->'),
-    ("<svg><title><b>x</title></svg>", 'svg svg/ svg title/  b/   "x"'),
-    ("<math><mi><b>x</b></mi><mglyph/></math>", 'math math/ math mi/  b/   "x"/ math mglyph'),
-    ("<math definitionurl=x><annotation-xml><svg><a/>", 'math math/ @definitionURL="x"/ math annotation-xml/  svg svg/   svg a'),
-    ("<math><annotation-xml encoding=Text/HTML><div>x", 'math math/ math annotation-xml/  @encoding="Text/HTML"/  div/   "x"'),
-    ("<template><td>x</td></template>y", None),
-    ("<body a=1><body a=2 b=3>x", None),
-    ("a</body>b<!-- c -->", '"ab"/<!--  c  -->'),
-    ("<iframe><p></iframe><noembed><b></noembed><xmp><i></xmp>", 'iframe/ "<p>"/noembed/ "<b>"/xmp/ "<i>"'),
-    ("<plaintext></p>", 'plaintext/ "</p>"'),
-    ("<!doctype html><p><table>", 'p/table'),
-]
-
-
-def lines(dumped):
-    return [line[2:] for line in dumped.split("\n")]
-
-
-def body_of(html):
-    out = lines(dump(parse(html)))
-    at = next(k for k, line in enumerate(out) if line.strip() == "<body>")
-    return [line[4:] for line in out[at + 1:] if line.startswith("    ")]
-
-
-def expand(short):
-    out = []
-    for part in short.split("/"):
-        depth = len(part) - len(part.lstrip(" "))
-        body = part.strip(" ") if not part.strip(" ").startswith('"') else part[depth:]
-        text = body[1:] if body.startswith("@") else body if body[0] in '"<' else f"<{body}>"
-        out.append("  " * depth + text.replace("\\n", "\n"))
-    return "\n".join(out)
-
-
-@pytest.mark.parametrize(("html", "want"), [c for c in BODIES if c[1]])
-def test_bodies(html, want):
-    got = "\n".join(body_of(html))
-    # Slashes in texts and comments divide the short form, so both sides are compared without them.
-    assert got.replace("/", "") == expand(want.replace("</", "<").replace('"Text/HTML"', '"TextHTML"')).replace("/", "")
-
-
-DOCUMENTS = [
-    ("", "| <html>\n|   <head>\n|   <body>"),
-    ("<!-- a --><!DOCTYPE html PUBLIC 'p' 's'>", '| <!DOCTYPE html "p" "s">\n| <!--  a  -->\n| <html>\n|   <head>\n|   <body>'),
-    ("<html a=1><head><meta x></head> <body b=2>y</html><!-- e -->", '| <html>\n|   a="1"\n|   <head>\n|     <meta>\n|       x=""\n|   " "\n|   <body>\n|     b="2"\n|     "y"\n| <!--  e  -->'),
-    ("<title>a<b></title><p>x<base>", '| <html>\n|   <head>\n|     <title>\n|       "a<b>"\n|   <body>\n|     <p>\n|       "x"\n|       <base>'),
-    ("</head><link>", "| <html>\n|   <head>\n|     <link>\n|   <body>"),
-    ("<noscript><p>x</noscript>", '| <html>\n|   <head>\n|     <noscript>\n|       "<p>x"\n|   <body>'),
-    ("<template><tr><td>z</template>", '| <html>\n|   <head>\n|     <template>\n|       content\n|         <tr>\n|           <td>\n|             "z"\n|   <body>'),
-    ("<body><template><p>a</template>b", '| <html>\n|   <head>\n|   <body>\n|     <template>\n|       content\n|         <p>\n|           "a"\n|     "b"'),
-    ("<frameset><frame><frameset></frameset> x</frameset><noframes>y</noframes></html><!--c-->", '| <html>\n|   <head>\n|   <frameset>\n|     <frame>\n|     <frameset>\n|     " "\n|   <noframes>\n|     "y"\n| <!-- c -->'),
-    ("<p><frameset>", "| <html>\n|   <head>\n|   <frameset>"),
-    ("x<frameset>", '| <html>\n|   <head>\n|   <body>\n|     "x"'),
-    ("<body a=1><body a=2 b=3>x", '| <html>\n|   <head>\n|   <body>\n|     a="1"\n|     b="3"\n|     "x"'),
-    ("</body></html>x<!--c-->", '| <html>\n|   <head>\n|   <body>\n|     "x"\n|     <!-- c -->'),
-    ("<p>a</body> </html> ", '| <html>\n|   <head>\n|   <body>\n|     <p>\n|       "a  "'),
-]
-
-
-@pytest.mark.parametrize(("html", "want"), DOCUMENTS)
-def test_documents(html, want):
+@pytest.mark.parametrize(("html", "want"), [case for rows in TREES.values() for case in rows])
+def test_trees(html, want):
     assert dump(parse(html)) == want
 
 
-FRAGMENTS = [
-    ("<li>a<li>b", "ul", '| <li>\n|   "a"\n| <li>\n|   "b"'), ("<td>x", "tr", '| <td>\n|   "x"'), ("<td>x", "div", '| "x"'), ("<tr><td>x", "table", '| <tbody>\n|   <tr>\n|     <td>\n|       "x"'),
-    ("<option>a<option>b", "select", '| <option>\n|   "a"\n| <option>\n|   "b"'), ("<b>x</b>", "title", '| "<b>x</b>"'), ("<b>x", "style", '| "<b>x"'), ("<path/><p>x", "svg path", '| <svg path>\n| <p>\n|   "x"'),
-    ("<mi>x", "math math", '| <math mi>\n|   "x"'), ("<p>x", "template", '| <p>\n|   "x"'), ("<p>x", "html", '| <head>\n| <body>\n|   <p>\n|     "x"'), ("<col>", "colgroup", "| <col>"), ("", "div", ""), ("</svg><a/>", "svg svg", "| <svg a>"),
-]
-
-
-@pytest.mark.parametrize(("html", "context", "want"), FRAGMENTS)
+@pytest.mark.parametrize(("html", "context", "want"), cases.FRAGMENTS)
 def test_fragments(html, context, want):
     assert dump(parse(html, context)) == want
 
