@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from domframe.llm import langid, minhash, mixing, pieces
-from domframe.llm.common import cut, shared_folder
+from domframe.llm.common import cut, remove, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if no language has been found in it, or none that half stands out among the learned ones.
@@ -61,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage makes of the documents; a stage's files go once the next one has read them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
