@@ -53,6 +53,8 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, length: int = SAMPLE_LE
 
     A stretch of length code points begins at a hashed place of its text.  Copies of a text count once.
     Languages are counted first; a language of few texts gives all of them.  Null texts and labels are left out.
+    Of more languages than rows, the network learns the rows most frequent ones, ties by name.  Equal texts are drawn
+    alike, so repeated rows and the order of rows change nothing.
     """
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = known.select("lang", F.xxhash64("text")).distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
@@ -80,7 +82,7 @@ def train(rows: Sequence[tuple[str, str]], epochs: int = 8, batch: int = 64, rat
     for lang, text in rows:
         whole = text.encode("utf-8", "surrogatepass")
         for piece in (whole, whole[:int(rng.integers(8, 90))]):
-            w = windows_of(piece)[:3]
+            w = windows_of(piece)
             data.append(w)
             labels += [langs.index(lang)] * len(w)
     x, y = (np.concatenate(data), np.array(labels)) if data else (np.zeros((0, WINDOW), np.uint8), np.zeros(0, int))
@@ -136,7 +138,7 @@ class Scorer:
         """Probabilities for rows of WINDOW bytes."""
         out = []
         for at in range(0, len(x), 64):
-            b = x[at:at + 64].astype(np.int32)
+            b = np.pad(x[at:at + 64], ((0, 0), (0, 1)), constant_values=PAD).astype(np.int32)  # the last byte begins a pair too
             pairs = (b[:, :-1] << 8) | b[:, 1:]
             z = self.tables[0][2][pairs]
             for shift, first, table in self.tables[1:]:
@@ -201,7 +203,10 @@ def scorer(net: Network) -> Scorer:
 
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """docs' own columns, lang_pred and score (0 to 1) for every row; only text is looked at."""
+    """docs' own columns, lang_pred and score (0 to 1) for every row; only text is looked at.
+
+    Repeated rows each have their row, with the same prediction; of equally likely languages the first by name wins.
+    """
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
