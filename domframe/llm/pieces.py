@@ -89,7 +89,10 @@ class Encoder:
         return held
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """The pieces of each word; words are sorted, so that each shares its beginning with the one before."""
+        """The pieces of each word; words are sorted, so that each shares its beginning with the one before.
+
+        A word to which no path leads, which a model of other scores could have, is merged by itself.
+        """
         last, start, before = [0], [0], ""
         number, admits, pairs, names, longest = self.number.get, self.admits, self.pairs.get, self.names, self.longest
         for word in words:
@@ -107,7 +110,11 @@ class Encoder:
                             start.append(at)
                             break
                 else:
-                    raise AssertionError(f"no path to {word[:end]!r}")
+                    break
+            if len(last) <= len(word):
+                yield word, self.merge(word)
+                before = word[:len(last) - 1]
+                continue
             parts, at = [], len(word)
             while at:
                 parts.append(names[last[at]])
@@ -187,7 +194,7 @@ def _run(docs: DataFrame, model: str, *steps: tuple) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with ids, the pieces of each whole text; a null text has none, like an empty one.  No beginning or end mark is added."""
+    """docs with ids, the pieces of each whole text; a null text has none, like an empty one.  No beginning or end mark is added.  Repeated rows each have their row."""
     return _run(docs, model, (text, ids, ArrayType(IntegerType()), _encoded))
 
 
