@@ -22,6 +22,10 @@ from .words import U, mix, seeds, shingle_hashes, word_hashes
 
 #: Pieces of the order for each shuffle partition, so that hashing deals them out evenly, and in all.
 PER_PARTITION, PIECES = 4, 100_000
+#: Bytes of text for one shuffle partition, of which there are more than the session asks for if the texts are many.
+PARTITION_BYTES = 1 << 27
+#: Ids by whose order pieces are cut, for each piece and in all: a sample by hash (16 MB on the driver).
+SAMPLED_PER_PIECE, SAMPLED = 100, 2_000_000
 NEIGHBOURS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -120,15 +124,17 @@ def _search(splits: Column, count: int, x: Column, strict: bool) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(count).alias("hi")), halve, lambda at: at.lo)
 
 
-def _ranged(docs: DataFrame, parts: int) -> DataFrame:
+def _ranged(docs: DataFrame, parts: int, known: int, rows: int) -> DataFrame:
     """docs (doc_id, text) with pid and h: in order of (pid, doc_id, h, text) the rows are in order of doc_id, nulls first.
 
-    Pieces are cut at quantiles of doc_id; one that very many rows share, null too, is cut by the texts' hash.
+    Pieces are cut at quantiles of a sample of doc_id, which decides only how even they are; an id that very many rows
+    share, null too, is cut by the texts' hash.
     """
-    share = [k / parts for k in range(1, parts)]
     ids = F.col("doc_id")
-    splits, known, rows = docs.agg(F.percentile_approx(ids, share, 100 * parts), F.count(ids), F.count("*")).first()
-    splits = sorted(splits or [])
+    share = min(1.0, min(SAMPLED, SAMPLED_PER_PIECE * parts) / max(1, known))
+    drawn = docs.where(ids.isNotNull() & (F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))).select("doc_id")
+    order = sorted(r[0] for r in drawn.limit(2 * SAMPLED).collect())
+    splits = [order[k * len(order) // parts] for k in range(1, parts)] if order else []
     low = F.from_json(F.lit(json.dumps([*splits, (1 << 63) - 1])), "array<long>")  # one constant, however many there are
     u = F.col("h") / F.lit(float(2**64)) + F.lit(0.5)
     less, most = _search(low, len(splits), ids, True), _search(low, len(splits), ids, False)
@@ -175,8 +181,11 @@ def neighbours(docs: DataFrame, words: int = 5, bins: int = 512, bits: int = 4,
     once: each piece of the order also gets a copy of the row that follows its last one.
     """
     spark = docs.sparkSession
-    parts = parts or min(PIECES, PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = _ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known, count, size = read.agg(F.count("doc_id"), F.count("*"), F.sum(F.octet_length("text"))).first()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size or 0) / PARTITION_BYTES))
+    parts = parts or min(PIECES, PER_PARTITION * partitions)
+    rows = _ranged(read, parts, known, count).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     # One row per piece, of which there are PIECES at most.
     heads = sorted(rows.groupBy("pid").agg(F.min(F.struct("key", "h")).alias("first")).select("pid", "first.key", "first.h").collect())
     if not heads:
@@ -185,5 +194,5 @@ def neighbours(docs: DataFrame, words: int = 5, bins: int = 512, bits: int = 4,
     to = F.array(F.struct("pid", F.lit(False).alias("tail")), F.struct(F.col("before").alias("pid"), F.lit(True).alias("tail")))
     copied = rows.join(F.broadcast(copies), ["pid", "key", "h"], "left").withColumn("to", F.explode(F.filter(to, lambda x: x.pid.isNotNull())))
     dealt = copied.select(F.col("to.pid").alias("pid"), F.col("to.tail").alias("tail"), "doc_id", "h", "text")
-    ordered = dealt.repartition("pid").sortWithinPartitions("pid", "tail", "doc_id", "h", "text")
+    ordered = dealt.repartition(partitions, "pid").sortWithinPartitions("pid", "tail", "doc_id", "h", "text")
     return ordered.select("tail", "doc_id", "text").mapInArrow(_pairs(words, bins, bits), NEIGHBOURS)
