@@ -96,7 +96,7 @@ def _sketcher(k: int, t: int, rows: int):
 
 def alike(low: np.ndarray, here: np.ndarray, there: np.ndarray, least: int) -> np.ndarray:
     """For rows of coordinates' bytes: the first row each is connected with by pairs (one of here, one of there) that have least bytes in common."""
-    a, b = [], []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(here), 64):
         equal = (low[here[at:at + 64], None, :] == low[None, there, :]).sum(axis=2, dtype=np.int32) >= least
         i, j = np.nonzero(equal)
