@@ -106,6 +106,18 @@ def test_state_machine(spark, roles, bad):
     assert (r["valid"], r["first_bad"]) == (bad is None, bad)
 
 
+def test_long_texts_and_conversations(spark):
+    long = "word [INST] " * 200_000
+    r = mixing.mix(docs(spark, [(1, long, "en", "a", 0), (2, "b", "en", "b", 0)])).collect()
+    assert sorted(x["size"] for x in r) == [1, 400_000]
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(20_000)] + [(2, 0, "user", "u"), (2, 1, "assistant", long)]
+    done = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {x["conv_id"]: x for x in done.select("conv_id", "valid", F.size(chat.read_turns(F.col("formatted"))).alias("n"), F.sha2(chat.loss_text(F.col("segments")), 256).alias("loss")).collect()}
+    assert (got[1]["valid"], got[1]["n"], got[2]["valid"], got[2]["n"]) == (True, 20_000, True, 2)
+    assert got[1]["loss"] == hashlib.sha256("".join(f"turn {t}" for t in range(1, 20_000, 2)).encode()).hexdigest()
+    assert got[2]["loss"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_chat_query_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     r = queries.op8_chat(spark, str(tmp_path)).collect()
