@@ -318,8 +318,8 @@ def _sql_function(name: str, call: str, sql: str) -> None:
 
 _TITLE = _un(_between("<title>", "</title>"))
 _sql_function("sql_html_query", "html_query(html, 'title')[0] AS title", "SELECT page_id, '<title>' || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title>' AS title FROM (SELECT page_id, " + _TITLE + " AS t FROM pages)")
-_sql_function("sql_html_text", "html_text(html, 'title')[0] AS title, html_text(html, NULL)[0] AS page", f"SELECT page_id, {_TITLE} AS title, text AS page FROM pages JOIN (SELECT page_id AS p, text FROM ({ORACLES['text_page'].replace('SELECT page_id,', 'SELECT page_id,', 1)})) ON p = page_id")
-_sql_function("sql_html_attr", "html_attr(html, 'nav a', 'href')[0] AS href, html_attr(html, 'html', 'lang') AS lang", f"SELECT page_id, href, [regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)] AS lang FROM pages JOIN (SELECT page_id AS p, {HREF} AS href, k FROM {LINKS}) ON p = page_id AND k = 0")
+_sql_function("sql_html_text", "html_text(html, 'title')[0] AS title, html_text(html, NULL)[0] AS page", f"SELECT page_id, {_TITLE} AS title, text AS page FROM pages JOIN (SELECT page_id AS p, text FROM ({ORACLES['text_page']})) ON p = page_id")
+_sql_function("sql_html_attr", "html_attr(html, 'nav a', 'href')[0] AS href, html_attr(html, 'html', 'lang')[0] AS lang", f"SELECT page_id, href, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages JOIN (SELECT page_id AS p, {HREF} AS href, k FROM {LINKS}) ON p = page_id AND k = 0")
 _sql_function("sql_html_to_html", "regexp_extract(html_to_html(html), '(?s)^<!DOCTYPE html><html lang=([^>]*)><head><meta charset=utf-8>', 1) AS lang", "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
 
 
