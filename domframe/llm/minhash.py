@@ -23,7 +23,7 @@ from .words import U, distinct, mix, seeds, shingles_of
 #: Texts, and shingles, of a block; larger groups are dealt out in blocks, with about so many pivots in each.
 BLOCK_TEXTS, BLOCK_SHINGLES, PIVOTS = 128, 500_000, 8
 #: Sketches of a band that one task compares with each other; of more, blocks are compared with blocks.
-BLOCK_SKETCHES = 2000
+BLOCK_SKETCHES = 500
 #: The chance that bands, or the comparison of coordinates, miss a pair at the threshold.
 MISS = 1e-6
 #: Parts into which the members of a group are dealt where the table of large groups, or bands, is not broadcast; up to so many rows it is (about 10 MB).
