@@ -13,12 +13,16 @@ a whole name of theirs.  Where a page marks its article, the text is taken from
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import zlib
 from collections.abc import Collection, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..parser.builder import parse
 from .common import cut
@@ -162,6 +166,18 @@ class Page:
             self._held = numbers, stay
         return self._held
 
+    def packed(self) -> bytes:
+        """What text needs, for a later task: it need not parse again."""
+        body = [t in ("html", "body") for t in self.tag]
+        return zlib.compress(pickle.dumps((self.parent, self.path, self.noise, self.main, self.plain, body, self.runs, self.held()), pickle.HIGHEST_PROTOCOL), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Page:
+        page = cls.__new__(cls)
+        page.parent, page.path, page.noise, page.main, page.plain, body, page.runs, page._held = pickle.loads(zlib.decompress(data))  # the library's own stored pages
+        page.tag = ["body" if b else "" for b in body]
+        return page
+
     def facts(self) -> Iterator[tuple[int, int, int, int]]:
         """(path, kind, what, the page's text): of branches the content (0) and layout (1); of parents the blocks (2), and that they are there (3)."""
         whole, numbers = _digest([self.text()]), self.held()[0]
@@ -187,16 +203,10 @@ def low_branches(pages: DataFrame, low: float = LOW, most: float = MOST) -> Data
     It is averaged with DOUBT pages of importance 1.  A block is template if more than the share most of the host's
     other pages that show its parent's branch, and DOUBT more, have it there; so a host has at most 1 / most times
     as many of them as a page has blocks.  Pages with the same main text are one page.  Pages without url belong
-    to no host.
+    to no host.  pages has _host and facts.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(host, *x) for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in Page(html).facts()]
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "path", "kind", "what", "page"])
-
-    seen = pages.where("html IS NOT NULL AND _host IS NOT NULL").select("_host", "html").mapInArrow(run, "host long, path long, kind int, what long, page long")
+    fact = F.transform(F.sequence(F.lit(0), (F.size("facts") / 4 - 1).cast("int")), lambda k: F.struct(*(F.get("facts", (4 * k + at).cast("int")).alias(c) for at, c in enumerate(("path", "kind", "what", "page")))))
+    seen = pages.where("size(facts) > 0 AND _host IS NOT NULL").select(F.col("_host").alias("host"), F.explode(fact).alias("f")).select("host", "f.*")
     counts = cut(seen.distinct().groupBy("host", "path", "kind", "what").agg(F.count("*").alias("c")).where((F.col("kind") != 2) | (F.col("c") > 1)))  # blocks of one page are never template
     spread = counts.where("kind < 2").groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
@@ -209,14 +219,30 @@ def low_branches(pages: DataFrame, low: float = LOW, most: float = MOST) -> Data
     return branches.unionByName(blocks).distinct()
 
 
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, _host, packed (null for a null html) and facts, four numbers each, for every row of pages; stored, so that pages are parsed once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                p = b.slice(at, 256)
+                made = [Page(html) if html else None for html in p.column(3).to_pylist()]
+                facts = [[x for fact in page.facts() for x in fact] if page and host is not None else [] for page, host in zip(made, p.column(2).to_pylist(), strict=True)]
+                ends = np.cumsum([0, *map(len, facts)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array([x for f in facts for x in f], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(p.column(k) for k in range(3)), pa.array([page.packed() if page else None for page in made], pa.binary()), flat], names=["page_id", "url", "_host", "packed", "facts"])
+
+    named = F.regexp_extract("url", "(?s)^.*?://([^/?#]*)", 1)
+    rows = pages.select("page_id", "url", F.when(F.length(named) > 0, F.xxhash64(F.lower(named))).alias("_host"), "html")
+    return cut(rows.mapInArrow(run, rows.select("page_id", "url", "_host").schema.add("packed", "binary").add("facts", ArrayType(LongType()))))
+
+
 def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html); a null html has an empty text.
 
     References are decoded, white space in a block is one space, blocks are joined in page order by one space;
     nothing is cut.  Repeated rows each have their row.
     """
-    host = F.xxhash64(F.lower(F.nullif(F.regexp_extract("url", "(?s)^.*?://([^/?#]*)", 1), F.lit(""))))
-    rows = pages.select("page_id", "url", "html", F.when(F.length(F.regexp_extract("url", "(?s)^.*?://([^/?#]*)", 1)) > 0, host).alias("_host"))
+    rows = parsed(pages)
     table = cut(low_branches(rows, low))
     tree = None
     if table.count() <= BROADCAST_BRANCHES:
@@ -224,18 +250,18 @@ def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
         for r in table.collect():
             of_host.setdefault(r["host"], set()).add(r["path"])
         tree = rows.sparkSession.sparkContext.broadcast(of_host)
-        joined = rows.select("page_id", "url", "html", "_host", F.lit(None).cast("array<long>").alias("paths"))
+        joined = rows.select("page_id", "url", "packed", "_host", F.lit(None).cast("array<long>").alias("paths"))
     else:
         lists = table.groupBy("host").agg(F.collect_list("path").alias("paths"))
-        dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)))
+        dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "packed"), F.lit(SALTS)))
         spread = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = dealt.join(spread, (F.col("_host") == F.col("host")) & (F.col("_salt") == F.col("_part")), "left").select("page_id", "url", "html", "_host", "paths")
+        joined = dealt.join(spread, (F.col("_host") == F.col("host")) & (F.col("_salt") == F.col("_part")), "left").select("page_id", "url", "packed", "_host", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 p = b.slice(at, 256)
-                texts = [Page(html).text(tree.value.get(name, ()) if tree else frozenset(paths or ())) if html else "" for html, name, paths in zip(*(p.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+                texts = [Page.unpacked(page).text(tree.value.get(name, ()) if tree else frozenset(paths or ())) if page else "" for page, name, paths in zip(*(p.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     out = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
