@@ -87,7 +87,7 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.tag, self.path, self.noise, self.main, self.inline, self.plain, self.runs = [-1], [""], [0], [False], [0], [False], [True], []
-        self._held: tuple[dict[int, int], list[bool]] | None = None
+        self.numbers: dict[int, int] = {}
         runs, inside = self.runs, [False]  # of each element: whether an article is around it
         todo = [(n, 0) for n in reversed(parse(html))]
         while todo:
@@ -103,6 +103,8 @@ class Page:
                     runs.append((-1, " "))
                     todo.append((None, 0))
                 todo += [(n, here) for n in reversed(node.children)]
+        self.holds = [False] * len(self.tag)  # an article or main lies inside
+        self._number_blocks(self.kept())
 
     def _open(self, node, up: int, in_article: bool) -> int:
         name, held = node.tag, node.attrs
@@ -125,74 +127,82 @@ class Page:
         self.plain.append(inline or name in PLAIN and not (label or role))
         return len(self.tag) - 1
 
-    def kept(self, low: Collection[int] = ()) -> list[bool]:
-        """Which elements' text stays: not noise, not below a branch of low importance, inside the article if there is one."""
+    def kept(self) -> list[bool]:
+        """Which elements' text stays as far as the markup says: what isn't noise, inside the article if there is one."""
         n, noise = len(self.tag), self.noise
-        holds = [False] * n  # an article or main lies inside
         for k in range(n - 1, 0, -1):
-            if self.main[k] and not noise[k] or holds[k]:
-                holds[self.parent[k]] = True
-        blocks = self.held()[0] if low else {}
+            if self.main[k] and not noise[k] or self.holds[k]:
+                self.holds[self.parent[k]] = True
         stay, inside = [True] * n, [0] * n
         for k in range(1, n):
             up = self.parent[k]
-            gone = noise[k] or low and (not self.plain[k] and self.path[k] in low or blocks.get(k) in low) and self.tag[k] not in ("html", "body")
-            stay[k] = stay[up] and not (gone and not holds[k])
+            stay[k] = stay[up] and not (noise[k] and not self.holds[k])
             inside[k] = max(inside[up], 0 if noise[k] else self.main[k]) if stay[k] else 0
         best = max(inside)
         return [s and i == best for s, i in zip(stay, inside, strict=True)] if best else stay
 
-    def text(self, low: Collection[int] = ()) -> str:
-        """The main text; empty if the page has none but template and noise."""
-        stay = self.kept(low) if low else self.held()[1]
-        return " ".join("".join(t for k, t in self.runs if k < 0 or stay[k]).split())
-
-    def held(self) -> tuple[dict[int, int], list[bool]]:
-        """A number for each block element with text to keep, of its path and of all it holds in page order; and kept()."""
-        if self._held is None:
-            stay, numbers = self.kept(), {}
-            owner = [0] * len(self.tag)  # the nearest block around each
-            for k in range(1, len(self.tag)):
-                owner[k] = owner[self.parent[k]] if self.inline[k] else k
-            parts: dict[int, list[tuple[int, str]]] = {}
-            for at, (k, t) in enumerate(self.runs):
-                if k > 0 and stay[k] and (t := " ".join(t.split())):
-                    parts.setdefault(owner[k], []).append((at, t))
-            for k in range(len(self.tag) - 1, 0, -1):
-                if k in parts:
-                    inner = sorted(parts.pop(k))
-                    numbers[k] = _digest([f"{self.path[k]}", *(t for _, t in inner)])
-                    parts.setdefault(owner[self.parent[k]], []).append((inner[0][0], f"{numbers[k]}"))
-            self._held = numbers, stay
-        return self._held
+    def _number_blocks(self, stay: list[bool]) -> None:
+        """Leaves only the text to keep, each run with the nearest block around it, and numbers the blocks that have some by their path and all they hold in page order."""
+        owner = [0] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            owner[k] = owner[self.parent[k]] if self.inline[k] else k
+        self.owner = owner
+        self.runs = [(owner[k] if k > 0 else k, t) for k, t in self.runs if k < 0 or stay[k]]
+        parts: dict[int, list[tuple[int, str]]] = {}
+        for at, (k, t) in enumerate(self.runs):
+            if k > 0 and (t := " ".join(t.split())):
+                parts.setdefault(k, []).append((at, t))
+        for k in range(len(self.tag) - 1, 0, -1):
+            if k in parts:
+                inner = sorted(parts.pop(k))
+                self.numbers[k] = _digest([f"{self.path[k]}", *(t for _, t in inner)])
+                parts.setdefault(owner[self.parent[k]], []).append((inner[0][0], f"{self.numbers[k]}"))
+
+    def text(self) -> str:
+        """The main text as far as the markup tells it."""
+        return " ".join("".join(t for _, t in self.runs).split())
 
     def packed(self) -> bytes:
-        """What text needs, for a later task: it need not parse again."""
-        body = [t in ("html", "body") for t in self.tag]
-        return zlib.compress(pickle.dumps((self.parent, self.path, self.noise, self.main, self.plain, body, self.runs, self.held()), pickle.HIGHEST_PROTOCOL), 1)
-
-    @classmethod
-    def unpacked(cls, data: bytes) -> Page:
-        page = cls.__new__(cls)
-        page.parent, page.path, page.noise, page.main, page.plain, body, page.runs, page._held = pickle.loads(zlib.decompress(data))  # the library's own stored pages
-        page.tag = ["body" if b else "" for b in body]
-        return page
-
-    def facts(self) -> Iterator[tuple[int, int, int, int]]:
-        """(path, kind, what, the page's text): of branches the content (0) and layout (1); of parents the blocks (2), and that they are there (3)."""
-        whole, numbers = _digest([self.text()]), self.held()[0]
+        """Text and blocks for the task that knows the tree: it need not parse again.
+
+        Of each block with text its parent's place, the branch it would go with and its number, 0 where the tree can't take it out.
+        """
+        order = sorted(self.numbers)
+        place = {k: n for n, k in enumerate(order)}
+        rows = [(place.get(self.owner[self.parent[k]], -1), 0 if self.plain[k] or self._fixed(k) else self.path[k], 0 if self._fixed(k) else self.numbers[k]) for k in order]
+        blocks = np.array(rows, np.int64).reshape(-1, 3)
+        runs = [(place.get(k, -1), t) for k, t in self.runs if k < 0 or t]
+        runs = [r for n, r in enumerate(runs) if n == 0 or r[1] != " " or runs[n - 1] != r]
+        return zlib.compress(pickle.dumps((blocks[:, 0].astype(np.int32).tobytes(), blocks[:, 1:].tobytes(), [k for k, _ in runs], [t for _, t in runs]), pickle.HIGHEST_PROTOCOL), 1)
+
+    def _fixed(self, k: int) -> bool:
+        return self.holds[k] or self.tag[k] in ("html", "body")
+
+    def facts(self) -> Iterator[tuple[int, int, int]]:
+        """(path, kind, what): of branches the content (0) and layout (1); of parents the blocks (2), and that they are there (3)."""
         words: dict[int, list[str]] = {}
         shape: dict[int, list[str]] = {}
         for k in range(1, len(self.tag)):
             if not self.inline[k]:
                 shape.setdefault(self.path[self.parent[k]], []).append(f"{self.path[k]}")
-                if k in numbers and not self.plain[k]:
-                    words.setdefault(self.path[k], []).append(f"{numbers[k]}")
+                if k in self.numbers and not self.plain[k]:
+                    words.setdefault(self.path[k], []).append(f"{self.numbers[k]}")
         for path, content in words.items():
-            yield from ((path, 0, _digest(content), whole), (path, 1, _digest(shape.get(path, ())), whole))
-        blocks = {(self.path[self.parent[k]], number) for k, number in numbers.items() if self.tag[k] not in ("html", "body")}
-        yield from ((path, 2, number, whole) for path, number in blocks)
-        yield from ((path, 3, 0, whole) for path in {path for path, _ in blocks})
+            yield from ((path, 0, _digest(content)), (path, 1, _digest(shape.get(path, ()))))
+        blocks = {(self.path[self.parent[k]], number) for k, number in self.numbers.items() if self.tag[k] not in ("html", "body")}
+        yield from ((path, 2, number) for path, number in blocks)
+        yield from ((path, 3, 0) for path in {path for path, _ in blocks})
+
+
+def without(packed: bytes, low: Collection[int]) -> str:
+    """The text of a packed page without the branches and blocks of low importance; empty if nothing is left."""
+    up, names, places, texts = pickle.loads(zlib.decompress(packed))  # the library's own stored pages
+    if low:
+        gone: list[bool] = []
+        for parent, (path, number) in zip(np.frombuffer(up, np.int32).tolist(), np.frombuffer(names, np.int64).reshape(-1, 2).tolist(), strict=True):
+            gone.append(parent >= 0 and gone[parent] or path in low or number in low)
+        texts = [t for k, t in zip(places, texts, strict=True) if k < 0 or not gone[k]]
+    return " ".join("".join(texts).split())
 
 
 def low_branches(pages: DataFrame, low: float = LOW, most: float = MOST) -> DataFrame:
@@ -203,10 +213,10 @@ def low_branches(pages: DataFrame, low: float = LOW, most: float = MOST) -> Data
     It is averaged with DOUBT pages of importance 1.  A block is template if more than the share most of the host's
     other pages that show its parent's branch, and DOUBT more, have it there; so a host has at most 1 / most times
     as many of them as a page has blocks.  Pages with the same main text are one page.  Pages without url belong
-    to no host.  pages has _host and facts.
+    to no host.  pages has _host, page and facts.
     """
-    fact = F.transform(F.sequence(F.lit(0), (F.size("facts") / 4 - 1).cast("int")), lambda k: F.struct(*(F.get("facts", (4 * k + at).cast("int")).alias(c) for at, c in enumerate(("path", "kind", "what", "page")))))
-    seen = pages.where("size(facts) > 0 AND _host IS NOT NULL").select(F.col("_host").alias("host"), F.explode(fact).alias("f")).select("host", "f.*")
+    fact = F.transform(F.sequence(F.lit(0), (F.size("facts") / 3 - 1).cast("int")), lambda k: F.struct(*(F.get("facts", (3 * k + at).cast("int")).alias(c) for at, c in enumerate(("path", "kind", "what")))))
+    seen = pages.where("size(facts) > 0 AND _host IS NOT NULL").select(F.col("_host").alias("host"), "page", F.explode(fact).alias("f")).select("host", "page", "f.*")
     counts = cut(seen.distinct().groupBy("host", "path", "kind", "what").agg(F.count("*").alias("c")).where((F.col("kind") != 2) | (F.col("c") > 1)))  # blocks of one page are never template
     spread = counts.where("kind < 2").groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
@@ -220,7 +230,7 @@ def low_branches(pages: DataFrame, low: float = LOW, most: float = MOST) -> Data
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, _host, packed (null for a null html) and facts, four numbers each, for every row of pages; stored, so that pages are parsed once."""
+    """page_id, url, _host, packed (null for a null html), page (a number of the text) and facts, three numbers each, for every row of pages; stored, so that pages are parsed once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -229,11 +239,12 @@ def parsed(pages: DataFrame) -> DataFrame:
                 facts = [[x for fact in page.facts() for x in fact] if page and host is not None else [] for page, host in zip(made, p.column(2).to_pylist(), strict=True)]
                 ends = np.cumsum([0, *map(len, facts)]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(ends), pa.array([x for f in facts for x in f], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(p.column(k) for k in range(3)), pa.array([page.packed() if page else None for page in made], pa.binary()), flat], names=["page_id", "url", "_host", "packed", "facts"])
+                yield pa.RecordBatch.from_arrays([*(p.column(k) for k in range(3)), pa.array([page.packed() if page else None for page in made], pa.binary()), pa.array([_digest([page.text()]) if page else 0 for page in made], pa.int64()), flat],
+                                                 names=["page_id", "url", "_host", "packed", "page", "facts"])
 
     named = F.regexp_extract("url", "(?s)^.*?://([^/?#]*)", 1)
     rows = pages.select("page_id", "url", F.when(F.length(named) > 0, F.xxhash64(F.lower(named))).alias("_host"), "html")
-    return cut(rows.mapInArrow(run, rows.select("page_id", "url", "_host").schema.add("packed", "binary").add("facts", ArrayType(LongType()))))
+    return cut(rows.mapInArrow(run, rows.select("page_id", "url", "_host").schema.add("packed", "binary").add("page", "long").add("facts", ArrayType(LongType()))))
 
 
 def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
@@ -261,7 +272,7 @@ def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 p = b.slice(at, 256)
-                texts = [Page.unpacked(page).text(tree.value.get(name, ()) if tree else frozenset(paths or ())) if page else "" for page, name, paths in zip(*(p.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+                texts = [without(page, tree.value.get(name, ()) if tree else frozenset(paths or ())) if page else "" for page, name, paths in zip(*(p.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     out = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
